@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import climate, quality
 from . import cleaning
-from .registry import day, query, r
+from .registry import nudged, nudged_sql, query, r
 from .standin import LAGS, lag_sql
 
 DAY = "cast(datetime as date) as Date"
@@ -84,10 +83,10 @@ def w1(t):
     return _dated(sliced, r("TAVG_previous", 6, "previous"))
 
 
-@query("w2_trailing_mean", f"select {DAY}, site, {', '.join(f'round({c}_lag_{w}d, 6) as {c}_lag_{w}d' for c in cleaning.LAG_COLUMNS for w in LAGS)} from history")
+@query("w2_trailing_mean", f"select {DAY}, site, {', '.join(nudged_sql(climate.lag_name(c, w)) for c in cleaning.LAG_COLUMNS for w in LAGS)} from history")
 def w2(t):
     lagged = climate.lag_features(t.controlled, "Station Name", "datetime", list(cleaning.LAG_COLUMNS), LAGS)
-    return _dated(lagged, *[r(climate.lag_name(c, w)) for c in cleaning.LAG_COLUMNS for w in LAGS])
+    return _dated(lagged, *[nudged(climate.lag_name(c, w)) for c in cleaning.LAG_COLUMNS for w in LAGS])
 
 
 @query("w3_warm_up_mask", """
@@ -104,8 +103,8 @@ def w3(t):
 _ALL = [(c, w) for c in cleaning.LAG_COLUMNS for w in range(1, 31)]
 
 
-@query("w4_lag_features", f"select {DAY}, site, {', '.join(f'round({c}_lag_{w}d, 6) as {c}_lag_{w}d' for c, w in _ALL)} from (select *, {', '.join(lag_sql(c, w) for c, w in _ALL)} from shifted)")
+@query("w4_lag_features", f"select {DAY}, site, {', '.join(nudged_sql(climate.lag_name(c, w)) for c, w in _ALL)} from (select *, {', '.join(lag_sql(c, w) for c, w in _ALL)} from shifted)")
 def w4(t):
     """All 60 lag columns."""
     lagged = climate.add_multiple_lags(t.controlled, list(cleaning.LAG_COLUMNS), 30)
-    return _dated(lagged, *[r(climate.lag_name(c, w)) for c, w in _ALL])
+    return _dated(lagged, *[nudged(climate.lag_name(c, w)) for c, w in _ALL])

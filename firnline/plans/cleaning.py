@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text, units
@@ -83,8 +83,6 @@ def attach_coordinates(clean: DataFrame, stations: DataFrame) -> DataFrame:
 
 def station_table(clean: DataFrame) -> DataFrame:
     """First row of every station (by date, then site): name, class, elevation."""
-    from pyspark.sql import Window
-
     first = Window.partitionBy("Station_Name").orderBy("Date", "Site")
     return (
         clean.select("Snow_Class", "Station_Name", "Elevation", "Date", "Site")
@@ -131,10 +129,9 @@ def clean_survey_bc(survey: DataFrame) -> DataFrame:
                 "Sturm_DOWY": dates.sturm_day(day),
                 "Pistochi_DOWY": dates.day_of_water_year(day, 11),
                 "DOWY": dates.day_of_water_year(day, 10),
-                "Elevation": F.col("ELEVATION"),
             }
         )
         .transform(quality.complete_cases)
-        .withColumnsRenamed({"LATITUDE": "Latitude", "LONGITUDE": "Longitude"})
-        .drop("SWE_cm", "SD", "rho_g_cm3", "ELEVATION")
+        .withColumnsRenamed({"LATITUDE": "Latitude", "LONGITUDE": "Longitude", "ELEVATION": "Elevation"})
+        .drop("SWE_cm", "SD", "rho_g_cm3")
     )

@@ -4,36 +4,70 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+DOUBLE, INT, LONG, STRING, TIMESTAMP = T.DoubleType(), T.IntegerType(), T.LongType(), T.StringType(), T.TimestampType()
 
-def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+
+def _schema(**columns: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name.replace("__", " "), kind) for name, kind in columns.items()])
 
 
 RAW_OBSERVATIONS = _schema(
-    "datetime timestamp, site string, `Station Name` string, SWE double, SNOWDEPTH double, PRECIPITATION double, "
-    "`AVG AIR TEMP` double, `MIN AIR TEMP` double, `MAX AIR TEMP` double, Elevation double, Snow_Class string"
+    datetime=TIMESTAMP,
+    site=STRING,
+    Station__Name=STRING,
+    SWE=DOUBLE,
+    SNOWDEPTH=DOUBLE,
+    PRECIPITATION=DOUBLE,
+    AVG__AIR__TEMP=DOUBLE,
+    MIN__AIR__TEMP=DOUBLE,
+    MAX__AIR__TEMP=DOUBLE,
+    Elevation=DOUBLE,
+    Snow_Class=STRING,
 )
 
-SCRAPED_STATIONS = _schema("site_name string, state string, ntwk string, lat double, lon double, elev double")
+SCRAPED_STATIONS = _schema(site_name=STRING, state=STRING, ntwk=STRING, lat=DOUBLE, lon=DOUBLE, elev=DOUBLE)
 
 STATION_METADATA = _schema(
-    "site_name string, latitude double, longitude double, elevation double, triplets string, snowclass string"
+    site_name=STRING, latitude=DOUBLE, longitude=DOUBLE, elevation=DOUBLE, triplets=STRING, snowclass=STRING
 )
 
 SURVEY_MAINE = _schema(
-    "survey_id bigint, SURVEY_DATE_TEXT string, DENSITY double, WATER double, DEPTH double, LATITUDE double, LONGITUDE double, "
-    "SITE_NAME string, CONFIDENCE_LEVEL string"
+    survey_id=LONG,
+    SURVEY_DATE_TEXT=STRING,
+    DENSITY=DOUBLE,
+    WATER=DOUBLE,
+    DEPTH=DOUBLE,
+    LATITUDE=DOUBLE,
+    LONGITUDE=DOUBLE,
+    SITE_NAME=STRING,
+    CONFIDENCE_LEVEL=STRING,
 )
 
 SURVEY_BC = _schema(
-    "survey_id bigint, Date string, SD double, SWE_cm double, rho_g_cm3 double, LATITUDE double, LONGITUDE double, "
-    "LOCATION_NAME string, ELEVATION double"
+    survey_id=LONG,
+    Date=STRING,
+    SD=DOUBLE,
+    SWE_cm=DOUBLE,
+    rho_g_cm3=DOUBLE,
+    LATITUDE=DOUBLE,
+    LONGITUDE=DOUBLE,
+    LOCATION_NAME=STRING,
+    ELEVATION=DOUBLE,
 )
 
-SNOW_CLASS_GRID = _schema("ix int, iy int, code int")
-ELEVATION_GRID = _schema("ix int, iy int, elevation_m double")
+SNOW_CLASS_GRID = _schema(ix=INT, iy=INT, code=INT)
+ELEVATION_GRID = _schema(ix=INT, iy=INT, elevation_m=DOUBLE)
 
 EXPERIMENTS = _schema(
-    "model string, variant string, encoder string, mode string, rmse double, r2 double, mbe double, best_iteration int, "
-    "hyperparameters map<string,double>, seed int, timestamp string"
+    model=STRING,
+    variant=STRING,
+    encoder=STRING,
+    mode=STRING,
+    rmse=DOUBLE,
+    r2=DOUBLE,
+    mbe=DOUBLE,
+    best_iteration=INT,
+    hyperparameters=T.MapType(STRING, DOUBLE),
+    seed=INT,
+    timestamp=STRING,
 )
