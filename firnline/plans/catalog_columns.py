@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates, text, units
-from .registry import day, query, r
+from .registry import NUDGE, query, r
 
 KEY = 'cast(datetime as date) as d, site'
 
@@ -204,11 +204,11 @@ def c18(t):
 
 
 @query("c19_density_from_swe", f"""
-    select {KEY}, round(SWE / nullif(Snow_Depth, 0), 6) as density, round(SWE / nullif(Snow_Depth, 0) * 1000, 4) as density_kg_m3 from derived""")
+    select {KEY}, round(SWE / nullif(Snow_Depth, 0), 6) as density, round(SWE / nullif(Snow_Depth, 0) * 1000 + {NUDGE}, 4) as density_kg_m3 from derived""")
 def c19(t):
     swe, depth = F.col("SWE"), F.col("Snow_Depth")
     return t.derived.select(
-        F.col("datetime").cast("date").alias("d"), "site", r(units.snow_density(swe, depth), 6, "density"), r(units.snow_density(swe, depth, 1000), 4, "density_kg_m3")
+        F.col("datetime").cast("date").alias("d"), "site", r(units.snow_density(swe, depth), 6, "density"), r(units.snow_density(swe, depth, 1000) + NUDGE, 4, "density_kg_m3")
     )
 
 
