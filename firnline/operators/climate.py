@@ -68,12 +68,13 @@ def _with_previous(df: DataFrame, station: str, ts: str, columns: list[str], rea
         .withColumn(_MAIN, F.col("__own") == part)
         .select(station, _SLICE, _US, _MAIN, *columns, *[F.when(F.col(_MAIN), F.col(f"`{c}`")).alias(c) for c in others])
     )
+    # shuffled by slice even where the rows come partitioned by station; one order
+    # for every window, so they are sorted once
     ordered = Window.partitionBy(station, _SLICE).orderBy(_US)
-    return spread.unionByName(carry, allowMissingColumns=True).withColumns(
-        {
-            **{f"__prev_{c}": F.lag(c, 1).over(ordered) for c in columns},
-            _FIRST: F.max(_FIRST).over(Window.partitionBy(station, _SLICE)),
-        }
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    laid = spread.unionByName(carry, allowMissingColumns=True).repartition(F.col(f"`{station}`"), F.col(_SLICE))
+    return laid.withColumns(
+        {**{f"__prev_{c}": F.lag(c, 1).over(ordered) for c in columns}, _FIRST: F.max(_FIRST).over(whole)}
     )
 
 

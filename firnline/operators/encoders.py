@@ -96,10 +96,11 @@ def ordered_encoding(train: DataFrame, column: str, y: str, blocks: list[str], o
     """Each row gets the mean target of earlier rows of its class, with the
     overall mean as one prior observation. The order is ``blocks`` then ``order``
     (station, then date); a class is cut at the blocks."""
-    running = running_before(train, [column], blocks, order, {"__sum": F.col(y).cast("double"), "__count": F.lit(1)})
+    filled = train.withColumn("__class", F.coalesce(F.col(column), F.lit("")))  # a missing class is a class
+    running = running_before(filled, ["__class"], blocks, order, {"__sum": F.col(y).cast("double"), "__count": F.lit(1)})
     prior = train.agg(F.avg(y).alias("__prior"))
     encoded = (F.col("__sum") + F.col("__prior")) / (F.col("__count") + 1)
-    return running.join(F.broadcast(prior)).withColumn(name, encoded).drop("__sum", "__count", "__prior")  # one row
+    return running.join(F.broadcast(prior)).withColumn(name, encoded).drop("__class", "__sum", "__count", "__prior")  # one row
 
 
 def ordered_encoding_table(train: DataFrame, column: str, y: str) -> DataFrame:

@@ -42,7 +42,9 @@ def running_before(
 
     The order inside a group is ``blocks`` (outermost first), then ``order``.
     Every entry of ``totals`` is summed into a column of that name, exclusive of
-    the current row; the first row of a group gets 0.
+    the current row; the first row of a group gets 0. Group and block columns
+    must not be null. Where the offsets are too many to broadcast, their join and
+    the window need the same partitioning, so the rows are shuffled once.
     """
     work = df
     parts = {name: f"__part_{name}" for name in totals}
@@ -58,11 +60,7 @@ def running_before(
         ahead = Window.partitionBy(*outer).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
         level = levels.groupBy(*keys).agg(*sums) if depth < len(blocks) else levels
         level = level.select(*keys, *[F.coalesce(F.sum(p).over(ahead), F.lit(0)).alias(f"{p}_{depth}") for p in parts.values()])
-        offsets = (
-            offsets.alias("o")
-            .join(level.alias("l"), null_safe("o", "l", keys))
-            .select("o.*", *[f"l.{p}_{depth}" for p in parts.values()])
-        )
+        offsets = offsets.join(level, keys)
     offsets = offsets.select(
         *by,
         *blocks,
@@ -70,17 +68,10 @@ def running_before(
     )
 
     inner = Window.partitionBy(*by, *blocks).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = work.alias("r").join(offsets.alias("f"), null_safe("r", "f", by + blocks)).select(
-        "r.*", *[f"f.{p}_offset" for p in parts.values()]
-    )
-    result = joined.select(
+    return work.join(offsets, by + blocks).select(
         *df.columns,
-        *[
-            (F.coalesce(F.sum(p).over(inner), F.lit(0)) + F.col(f"{p}_offset")).alias(name)
-            for name, p in parts.items()
-        ],
+        *[(F.coalesce(F.sum(p).over(inner), F.lit(0)) + F.col(f"{p}_offset")).alias(name) for name, p in parts.items()],
     )
-    return result
 
 
 def hashed_rank(df: DataFrame, by: list[str], keys: list[str], seed: int | str, name: str = "rank", digits: int = 3) -> DataFrame:
@@ -105,7 +96,7 @@ def portions(df: DataFrame, by: list[str], keys: list[str], seed: int | str, par
     ranked = hashed_rank(df, by, keys, seed, rank)
     sizes = group_sizes(df, by, size)
     if by:
-        sized = ranked.alias("r").join(sizes.alias("s"), null_safe("r", "s", by)).select("r.*", f"s.{size}")
+        sized = ranked.join(sizes, by)
     else:
         sized = ranked.join(F.broadcast(sizes))  # one row
     position = F.col(rank) - 1

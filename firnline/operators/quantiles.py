@@ -16,15 +16,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import null_safe
-
 ACCURACY = 10_000
 
 
 def exact_quantiles(df: DataFrame, by: list[str], value: str, probabilities: list[float], accuracy: int = ACCURACY) -> DataFrame:
     """One row per group: ``by``, ``n`` (non-missing values) and ``quantiles``,
     an array in the order of ``probabilities``. A group whose values are all
-    missing keeps its row with null quantiles."""
+    missing keeps its row with null quantiles; a null key is no group."""
     margin = 4.0 / accuracy
     brackets = [(max(p - margin, 0.0), min(p + margin, 1.0)) for p in probabilities]
     cuts = sorted({c for pair in brackets for c in pair})
@@ -41,11 +39,11 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probabilities: lis
 
     small = F.col("n") <= accuracy
     inside = reduce(lambda a, b: a | b, [v.between(cut(low), cut(high)) for low, high in brackets], small)
-    slice_no = reduce(lambda a, b: a + b, [(v >= cut(c)).cast("int") for c in cuts])
+    # rows without a value go to slice -1, where they count for nothing
+    slice_no = F.coalesce(reduce(lambda a, b: a + b, [(v >= cut(c)).cast("int") for c in cuts]), F.lit(-1))
     histogram = (
-        rows.alias("r")
-        .join(groups.alias("g"), null_safe("r", "g", keys))
-        .select(*[F.col(f"r.{k}").alias(k) for k in keys], "n", "__v", slice_no.alias("slice"), F.when(inside, v).alias("kept"))
+        rows.join(groups, keys)
+        .select(*keys, "n", "__v", slice_no.alias("slice"), F.when(inside, v).alias("kept"))
         .groupBy(*keys, "n", "slice", "kept")
         .agg(F.count("__v").alias("copies"))
     )
@@ -55,9 +53,7 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probabilities: lis
     # Inside a slice kept values come first: rows that are only counted lie above them.
     within = Window.partitionBy(*keys, "slice").orderBy(F.col("kept").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     ranked = (
-        histogram.alias("h")
-        .join(starts.alias("s"), null_safe("h", "s", [*keys, "slice"]))
-        .select("h.*", "s.start")
+        histogram.join(starts, [*keys, "slice"])
         .withColumn("first", F.col("start") + F.coalesce(F.sum("copies").over(within), F.lit(0)))
     )
 

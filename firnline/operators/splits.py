@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import hashed_rank, null_safe
+from .ordering import hashed_rank
 
 SPATIAL_SEED = 300
 DEFAULT_SEED = 10
@@ -46,9 +46,9 @@ def assign_split(
 ) -> DataFrame:
     """Units (stations or rows) with a ``split`` column. In hashed order within a
     stratum the first go to test, the next to validation, the rest to train."""
-    stratum = strata or "__stratum"
-    if strata is None:
-        units = units.withColumn(stratum, F.lit("all"))
+    stratum = "__stratum"
+    columns = units.columns
+    units = units.withColumn(stratum, F.coalesce(F.col(strata).cast("string"), F.lit("")) if strata else F.lit("all"))
     quotas = units.groupBy(stratum).agg(F.count(F.lit(1)).alias("units"))
     quotas = _allocate(quotas, stratum, "units", test, "n_test").withColumn("__left", F.col("units") - F.col("n_test"))
     if validation is not None:
@@ -56,13 +56,10 @@ def assign_split(
     else:
         quotas = quotas.withColumn("n_val", F.lit(0))
     ranked = hashed_rank(units, [stratum], keys, seed, "__rank")
-    placed = ranked.alias("r").join(quotas.select(stratum, "n_test", "n_val").alias("q"), null_safe("r", "q", [stratum]))
-    split = (
-        F.when(F.col("r.__rank") <= F.col("q.n_test"), "test")
-        .when(F.col("r.__rank") <= F.col("q.n_test") + F.col("q.n_val"), "val")
-        .otherwise("train")
-    )
-    return placed.select(*[F.col(f"r.`{c}`") for c in units.columns if c != "__stratum"], split.alias("split"))
+    placed = ranked.join(quotas.select(stratum, "n_test", "n_val"), stratum)
+    rank = F.col("__rank")
+    split = F.when(rank <= F.col("n_test"), "test").when(rank <= F.col("n_test") + F.col("n_val"), "val").otherwise("train")
+    return placed.select(*[F.col(f"`{c}`") for c in columns], split.alias("split"))
 
 
 def split_rows(df: DataFrame, keys: list[str], test: float, seed: int | str, strata: str | None = None) -> DataFrame:

@@ -14,10 +14,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 
     Days, months and winters are calendar facts in UTC, so the session time zone
     is pinned. AQE picks join strategies from real sizes and splits skewed joins.
+    A window or aggregate over (station, slice) must not settle for rows that are
+    already partitioned by station alone, or a hot station would stay in one task.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.requireAllClusterKeysForDistribution", "true")
     return spark
 
 

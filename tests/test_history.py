@@ -71,7 +71,7 @@ def test_lags_use_one_large_shuffle_per_row_set(spark):
     plan = climate.add_multiple_lags(df, ["v"], 30, "station", "ts")._jdf.queryExecution().executedPlan().toString()
     initial = plan.split("Initial Plan")[-1]
     assert initial.count("Exchange hashpartitioning(station") == 3  # edges, their windows, rows with all 30 frames
-    assert initial.count("Window [") == 5  # two over the edges, three over the rows, all frames of a kind in one
+    assert initial.count("Window [") == 4  # two over the edges, two over the rows
 
 
 def test_hot_station_is_split(spark):
