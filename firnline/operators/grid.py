@@ -48,7 +48,7 @@ def attach_nearest(df: DataFrame, grid: DataFrame, header: GridHeader, values: l
 def attach_snow_class(df: DataFrame, grid: DataFrame, codes: DataFrame, header: GridHeader, x: str = "Longitude", y: str = "Latitude", strict: bool = False) -> DataFrame:
     """Adds ``snow_class`` by nearest cell, with newer names replaced. Points off
     the grid get null and ``in_bounds`` false, or fail the job when ``strict``."""
-    named = grid.join(F.broadcast(codes.select("code", "meaning")), "code").withColumn(
+    named = grid.join(codes.select("code", "meaning"), "code").withColumn(
         "snow_class", current_class_name(F.col("meaning"))
     )
     found = attach_nearest(df, named, header, ["snow_class"], x, y)
