@@ -17,7 +17,14 @@ def _strip(text: Column) -> Column:
 
 
 def literal_map(entries: dict) -> Column:
-    return F.create_map(*[F.lit(v) for v in chain.from_iterable(entries.items())])
+    """Constant map of text, whole numbers and doubles, folded at planning."""
+
+    def literal(value) -> str:
+        if isinstance(value, str):
+            return f"'{value}'"
+        return f"{value!r}D" if isinstance(value, float) else str(value)
+
+    return F.expr("map(" + ", ".join(literal(v) for v in chain.from_iterable(entries.items())) + ")")
 
 
 def station_name(raw_name: Column) -> Column:

@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.grid import GridHeader, header_of
-from ..session import prepare
+from ..schemas import RAW_OBSERVATIONS
+from ..session import prepare, scratch_path
+from ..sources.writers import write_parquet
 from . import cleaning
 
 LAGS = [7, 14]
@@ -76,9 +78,17 @@ class Tables:
     def derived(self) -> DataFrame:
         return cleaning.derive(self.raw)
 
+    @cached_property
+    def staged(self) -> DataFrame:
+        """Raw station-days landed once as a table in the shared folder. Quality
+        control and history pass over them several times; from here a pass is a
+        column-pruned scan, not the join and aggregation above."""
+        path = write_parquet(self.raw, scratch_path(self.spark, "raw"), compression="zstd")
+        return self.spark.read.schema(RAW_OBSERVATIONS).parquet(path)
+
     @cached_property
     def controlled(self) -> DataFrame:
-        return cleaning.control(self.derived)
+        return cleaning.control(cleaning.derive(self.staged))
 
     def history(self, windows: list[int] | None = None) -> DataFrame:
         return cleaning.add_history(self.controlled, windows or LAGS)

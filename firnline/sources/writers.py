@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from ..schemas import EXPERIMENTS
 
 
-def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "overwrite") -> str:
-    """Gzip Parquet; ``partition_by`` should have few values (a water year)."""
-    writer = df.write.mode(mode).option("compression", "gzip")
+def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "overwrite", compression: str = "gzip") -> str:
+    """Parquet, gzip unless told otherwise; ``partition_by`` should have few values
+    (a water year)."""
+    writer = df.write.mode(mode).option("compression", compression)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
