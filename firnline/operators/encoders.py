@@ -1,5 +1,6 @@
 """Snow-class encoders. Statistics are small aggregates joined back by class, so
-no fold is refitted and no class is gathered in one task."""
+no fold is refitted and no class is gathered in one task. The tables have one row
+per class (and fold); classes come from a short fixed list, so they are broadcast."""
 
 from __future__ import annotations
 
@@ -86,7 +87,7 @@ def cross_fitted_target_encoding(train: DataFrame, column: str, y: str, keys: li
     out = {c: F.sum(c).over(of_class) - F.col(c) for c in ("n", "s", "q")}
     rest = {c: F.sum(c).over(of_all) - F.sum(c).over(of_fold) for c in ("n", "s", "q")}
     table = full.select(column, "__fold", _shrunk(out["n"], out["s"], out["q"], rest["n"], rest["s"], rest["q"]).alias(name))
-    return rows.alias("r").join(table.alias("t"), null_safe("r", "t", [column, "__fold"])).select("r.*", f"t.{name}").drop("__fold")
+    return rows.alias("r").join(F.broadcast(table).alias("t"), null_safe("r", "t", [column, "__fold"])).select("r.*", f"t.{name}").drop("__fold")
 
 
 # -- ordered target statistics ----------------------------------------------------
@@ -116,5 +117,5 @@ def ordered_encoding_table(train: DataFrame, column: str, y: str) -> DataFrame:
 def apply_encoding(df: DataFrame, table: DataFrame, column: str, name: str = "encoded") -> DataFrame:
     """Encoded class from a fitted table; an unseen class gets the fallback."""
     fallback = table.agg(F.max("fallback").alias("__fallback"))
-    joined = df.alias("d").join(table.alias("t"), null_safe("d", "t", [column]), "left").select("d.*", F.col("t.encoded").alias("__encoded"))
+    joined = df.alias("d").join(F.broadcast(table).alias("t"), null_safe("d", "t", [column]), "left").select("d.*", F.col("t.encoded").alias("__encoded"))
     return joined.join(F.broadcast(fallback)).withColumn(name, F.coalesce("__encoded", "__fallback")).drop("__encoded", "__fallback")  # one row

@@ -30,7 +30,7 @@ def distinct_counts(df: DataFrame, columns: list[str], approximate: bool = False
 def percentiles(df: DataFrame, columns: list[str], probabilities: list[float]) -> DataFrame:
     """Exact percentiles, one row per column, one output column per probability."""
     long = df.select(*[F.col(c).cast("double") for c in columns]).unpivot([], columns, "column_name", "value")
-    found = exact_quantiles(long, ["column_name"], "value", probabilities)
+    found = exact_quantiles(long, ["column_name"], "value", probabilities, few=True)
     return found.select("column_name", *[F.col("quantiles")[i].alias(f"p{p * 100:g}") for i, p in enumerate(probabilities)])
 
 
@@ -48,9 +48,9 @@ def describe(df: DataFrame, columns: list[str], probabilities: tuple[float, ...]
 
 
 def box_summary(df: DataFrame, by: str, value: str) -> DataFrame:
-    """Quartiles, interquartile range, whisker ends (outermost values within 1.5
+    """By class: quartiles, interquartile range, whisker ends (outermost values within 1.5
     ranges of the box) and the number of values beyond them."""
-    found = exact_quantiles(df, [by], value, [0.25, 0.5, 0.75]).select(
+    found = exact_quantiles(df, [by], value, [0.25, 0.5, 0.75], few=True).select(
         by,
         F.col("quantiles")[0].alias("q1"),
         F.col("quantiles")[1].alias("median"),
@@ -60,7 +60,7 @@ def box_summary(df: DataFrame, by: str, value: str) -> DataFrame:
     inside = v.between(F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr)
     return (
         df.select(by, value)
-        .join(found, by)
+        .join(F.broadcast(found), by)  # one row per class
         .groupBy(by, "q1", "median", "q3")
         .agg(
             F.min(F.when(inside, v)).alias("whisker_low"),
@@ -81,7 +81,7 @@ def histogram(df: DataFrame, value: str, by: str, bins: int = 50) -> DataFrame:
     counts = (
         df.where(v.isNotNull())
         .select(by, value)
-        .join(ranges, by)
+        .join(F.broadcast(ranges), by)  # one row per split
         .groupBy(by, bin_no.alias("bin"))
         .agg(F.count(F.lit(1)).alias("count"))
     )

@@ -30,6 +30,12 @@ def nan_columns_to_null(df: DataFrame) -> DataFrame:
     )
 
 
+def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that occur more than once. History operators need (station, time) to
+    be unique; this shows what to aggregate or deduplicate first."""
+    return df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1)
+
+
 # -- conditional nulling ------------------------------------------------------
 
 

@@ -56,7 +56,7 @@ def assign_split(
     else:
         quotas = quotas.withColumn("n_val", F.lit(0))
     ranked = hashed_rank(units, [stratum], keys, seed, "__rank")
-    placed = ranked.join(quotas.select(stratum, "n_test", "n_val"), stratum)
+    placed = ranked.join(F.broadcast(quotas.select(stratum, "n_test", "n_val")), stratum)  # one row per class
     rank = F.col("__rank")
     split = F.when(rank <= F.col("n_test"), "test").when(rank <= F.col("n_test") + F.col("n_val"), "val").otherwise("train")
     return placed.select(*[F.col(f"`{c}`") for c in columns], split.alias("split"))

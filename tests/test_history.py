@@ -137,3 +137,8 @@ def test_nan_becomes_null_and_filters(spark):
     assert gap.where(quality.outside_gap(F.col("d"), "2005-05-16", "2005-11-30")).count() == 2
     profile = {r.column_name: r.missing for r in quality.missing_profile(quality.nan_columns_to_null(df)).collect()}
     assert profile == {"a": 1, "c": 1}
+
+
+def test_duplicate_keys(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 1), ("b", 1)], "s string, t int")
+    assert [(r.s, r.copies) for r in quality.duplicate_keys(df, ["s", "t"]).collect()] == [("a", 2)]
