@@ -3,7 +3,6 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from firnline.functions import text
 from firnline.operators import shape
 from firnline.plans import cleaning
 from firnline.schemas import RAW_OBSERVATIONS, SURVEY_BC
