@@ -19,6 +19,7 @@ and one for the query itself, can never be in a result.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +32,8 @@ from .common import cut
 #: Links of a node above the lowest level, and on it; candidates kept while building.
 LINKS, LOW_LINKS, BUILD_WIDTH = 16, 32, 64
 BATCH = 256
+#: Queries that one task searches in one shard, about.
+QUERY_BLOCK = 1 << 14
 
 
 @dataclass
@@ -265,8 +268,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int
 
     asked = usable(queries).distinct().select(F.col("vec_id").alias("query_id"), "vector")
     distinct = asked.groupBy("vector").agg(F.min("query_id").alias("node")).select("node", "vector", F.size("vector").alias("dim"))
-    spread = distinct.select("*", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    found = index.groupBy("dim", "shard").cogroup(spread.groupBy("dim", "shard")).applyInArrow(_search(k, width), "query long, node long, score double")
+    blocks = max(1, math.ceil(distinct.count() / QUERY_BLOCK))
+    block = F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int").alias("block")
+    spread = distinct.select("*", block, F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    copies = index.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    keys = ["dim", "shard", "block"]
+    found = copies.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInArrow(_search(k, width), "query long, node long, score double")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "node")
     merged = found.select("*", F.row_number().over(best).alias("place")).where(F.col("place") <= k + 1).drop("place")
     members = merged.join(classes.select("node", "ids"), "node").select("query", "score", F.explode("ids").alias("vec_id"))
