@@ -77,10 +77,10 @@ def _document_seeds(bitmap: np.ndarray, short: tuple[int, ...]):
     return run
 
 
-def best_segment(same: np.ndarray, identity: float) -> tuple[int, int]:
+def best_segment(same: np.ndarray, penalty: float = 2.0) -> tuple[int, int]:
     """Bounds of the segment with the highest score when a match counts 1 and a
-    mismatch takes off so much that no segment below ``identity`` scores over 0."""
-    score = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, -identity / (1 - identity)))])
+    mismatch takes off ``penalty``."""
+    score = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, -penalty))])
     gain = score - np.minimum.accumulate(score)
     stop = int(np.argmax(gain))
     return int(np.argmin(score[: stop + 1])), stop
@@ -99,9 +99,9 @@ def _verify(least: int, identity: float):
                         item = np.frombuffer(c["tokens"], np.uint64)
                         low, high = max(0, c["diagonal"]), min(len(own), c["diagonal"] + len(item))
                         same = own[low:high] == item[low - c["diagonal"] : high - c["diagonal"]]
-                        a, b = best_segment(same, identity)
+                        a, b = best_segment(same)
                         matched = int(same[a:b].sum())
-                        if matched >= min(least, len(item)) and matched > best.get(c["item_id"], (0,))[0]:
+                        if matched >= min(least, len(item)) and matched >= identity * (b - a) and matched > best.get(c["item_id"], (0,))[0]:
                             best[c["item_id"]] = (matched, low + a, low + b)
                     rows += [(batch.column(0)[i].as_py(), item, a, b, matched) for item, (matched, a, b) in best.items()]
                 columns = list(zip(*rows)) or [()] * 5
@@ -125,8 +125,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 11, identit
     the document, stop excluded) and matched (equal tokens between them).
 
     Tokens are runs of letters, digits and non-ASCII characters, lower-cased in A-Z. An
-    item counts as found where a segment of the document, aligned with it without gaps,
-    is equal in at least ``identity`` of its tokens and in ``least`` tokens or the whole
+    item counts as found where the best segment of the document aligned with it without
+    gaps (a mismatch outweighs two matches) is equal in at least ``identity`` of its tokens and in ``least`` tokens or the whole
     item if that is shorter. Items shorter than a mask are looked up whole. Null or empty
     items and texts match nothing, and rows without an id take no part. Rows that share
     a doc_id give one row per item and row. Ties go to the first segment. Other columns

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import words as W
 from .common import cut
@@ -119,7 +120,7 @@ def _align(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "removed"])
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def without_lines(texts: pa.Array, removed: pa.Array) -> pa.Array:
     """Texts without the lines at given places, counted over lines that are not empty."""
     out = []
