@@ -1,7 +1,7 @@
 """Word splitting and rolling hashes over Arrow text columns, vectorised.
 
 Texts of a batch lie back to back in one Arrow buffer. The functions here walk
-that buffer in blocks of about a megabyte, cut between documents or, inside a
+that buffer in blocks of about a quarter megabyte, cut between documents or, inside a
 very long text, between words, so memory does not follow the length of a text.
 
 A hash of a run of symbols is the polynomial sum of their mapped values times
@@ -11,6 +11,8 @@ run's first position and scrambled. All runs of a block come from one prefix sum
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 U64 = np.uint64
 
@@ -51,8 +53,9 @@ def salted(values: np.ndarray, salt: int) -> np.ndarray:
 
 
 class Rolling:
-    """Prefix sums of one base, with its powers and their inverses up to a length
-    that grows when asked for; the powers are not sent along with a task."""
+    """Prefix sums of one base, with its powers and their inverses up to a length that
+    grows when asked for. The powers are not sent along with a task: every task brings
+    its own copy of this module, so they live once per process, beside the modules."""
 
     def __init__(self, base: int):
         self.base, self.inverse, self.length = base, pow(base, -1, 2**64), 0
@@ -64,11 +67,12 @@ class Rolling:
         """Have powers for runs of ``n`` values."""
         if n <= self.length:
             return
-        self.length = max(n, BLOCK)
-        for name, factor in (("powers", self.base), ("inverses", self.inverse)):
-            steps = np.full(self.length + 1, factor, dtype=U64)
-            steps[0] = 1
-            setattr(self, name, np.cumprod(steps, dtype=U64))
+        store = sys.modules.setdefault("_rolling_powers", types.ModuleType("_rolling_powers")).__dict__
+        self.length, self.powers, self.inverses = store.get(str(self.base), (0, None, None))
+        if n > self.length:
+            self.length = max(n, BLOCK)
+            self.powers, self.inverses = (np.cumprod(np.concatenate([np.ones(1, U64), np.full(self.length, x, U64)]), dtype=U64) for x in (self.base, self.inverse))
+            store[str(self.base)] = self.length, self.powers, self.inverses
 
     def runs(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hash of values[s:e] for each pair of bounds."""
