@@ -20,7 +20,6 @@ from .ordering import order_hash
 FOREST_MODELS = ("rf",)
 BOOSTING_MODELS = ("lightgbm", "xgboost")
 MODELS = FOREST_MODELS + BOOSTING_MODELS
-MAX_ROUNDS = 100
 
 VARIANTS = {
     "main": MAIN_FEATURES,
@@ -45,14 +44,14 @@ INTEGER_PARAMETERS = ("numTrees", "maxDepth", "minInstancesPerNode", "maxIter")
 
 def check_model(name: str) -> str:
     if name not in MODELS:
-        raise ValueError(f"{name} not supported. Choose from {list(MODELS)}")
+        raise ValueError(f"no learner is called {name}; there are {list(MODELS)}")
     return name
 
 
 def variant_columns(variant: str) -> list[str]:
     """Numeric features and the class of a feature set."""
     if variant not in VARIANTS:
-        raise ValueError(f"Unknown model variant: {variant}. Choose {', '.join(VARIANTS)}")
+        raise ValueError(f"no feature set is called {variant}; there are {', '.join(VARIANTS)}")
     return [*VARIANTS[variant], NOMINAL_FEATURE]
 
 
@@ -76,8 +75,6 @@ def mllib_parameters(params: dict) -> dict:
         target = PARAMETER_NAMES.get(name, name)
         if target in INTEGER_PARAMETERS:
             value = int(value)
-        if target == "maxIter":
-            value = min(value, MAX_ROUNDS)
         if name in PARAMETER_NAMES or name not in ("min_samples_split", "min_child_weight", "num_leaves", "reg_alpha", "reg_lambda"):
             mapped[target] = value
     return mapped

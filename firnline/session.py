@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+#: Scratch folders of local applications that name none, by application id.
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings every operator relies on.
 
@@ -48,9 +52,10 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not is_local(spark):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="firnline-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="firnline-")
+    return _LOCAL_FOLDERS[application]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

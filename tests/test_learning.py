@@ -42,7 +42,7 @@ def test_feature_sets():
         learn.variant_columns("climate_3d")
     with pytest.raises(ValueError):
         learn.check_model("extratrees")
-    assert learn.mllib_parameters({"n_estimators": 5.0, "num_leaves": 9, "eta": 0.1, "num_boost_round": 1500}) == {"numTrees": 5, "stepSize": 0.1, "maxIter": learn.MAX_ROUNDS}
+    assert learn.mllib_parameters({"n_estimators": 5.0, "num_leaves": 9, "eta": 0.1, "num_boost_round": 1500}) == {"numTrees": 5, "stepSize": 0.1, "maxIter": 1500}
     assert learn.backend_defaults("xgboost", 3)["seed"] == 3
 
 
