@@ -51,22 +51,23 @@ def components(edges: DataFrame) -> DataFrame:
     """
     a, b = edges.columns[:2]
     links = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    links, seen = cut(links), None
+    links = cut(links)
 
     def star(pairs: DataFrame) -> DataFrame:
         least = pairs.groupBy("u").agg(F.min("v").alias("m"))
         return pairs.join(least, "u")
 
-    while True:
+    def unfinished(pairs: DataFrame) -> bool:
+        """Whether a node has two targets, or is one and has one."""
+        ends = pairs.select("u", "v", F.lit(False).alias("target")).unionByName(pairs.select(F.col("v").alias("u"), F.lit(None).cast("long").alias("v"), F.lit(True).alias("target")))
+        nodes = ends.groupBy("u").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.max("target").alias("target"))
+        return not nodes.where("low <> high or (low is not null and target)").isEmpty()
+
+    while unfinished(links):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = star(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-        large = large.where("u > v").distinct()
         stars = star(large)
-        small = stars.select(F.col("v").alias("u"), F.col("m").alias("v")).union(stars.select("u", F.col("m").alias("v")))
+        small = stars.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
         links = cut(small.where("u > v").distinct())
-        print_of = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if print_of == seen:
-            break
-        seen = print_of
     roots = links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
