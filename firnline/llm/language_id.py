@@ -222,12 +222,13 @@ def fit(docs: DataFrame, documents: int = 3000, per_document: int = 2, stretch:
     """Fit on at most ``documents`` rows of ``docs`` (doc_id, text, lang) in equal
     shares by language, the smallest by a hash of doc_id, and ``per_document``
     stretches of ``stretch`` words from each. Rows without lang or text are left
-    out. The sample is fetched by the driver, and this bound is all that it holds."""
+    out; rows that share a doc_id, or have none, count as one. The sample is fetched by the driver, and this bound is all that it holds."""
     labelled = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("draw"), "text")
     ranked = labelled.select("lang", "draw").distinct().withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("draw")))
     # Round robin over the languages, so a rare one is not crowded out.
     drawn = ranked.where(F.col("n") <= documents).orderBy("n", "lang").limit(documents).select("lang", "draw")
-    chosen = labelled.join(F.broadcast(drawn), ["lang", "draw"]).select("lang", "text")
+    # One text a draw, also where many rows share an id or have none.
+    chosen = labelled.join(F.broadcast(drawn), ["lang", "draw"]).groupBy("lang", "draw").agg(F.min("text").alias("text")).select("lang", "text")
     pieces = chosen.mapInArrow(_stretches(per_document, stretch), "lang string, piece binary").collect()
     return train(sorted((r.lang, bytes(r.piece)) for r in pieces), rounds) if pieces else Field([], np.zeros((1, 0)), np.zeros((0, 0)), np.zeros(0, np.uint64))
 

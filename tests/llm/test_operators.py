@@ -363,3 +363,10 @@ def test_licenses(spark):
                     want.add((i, n))
     assert {(r.doc_id, r.template) for r in blocks} == want
     assert licenses.scan(documents(spark, [])).count() == 0
+
+
+def test_language_sample_stays_bounded_where_ids_repeat(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "train", lambda pieces, rounds: pieces)
+    rows = [(None, f"some words {i}", "en") for i in range(40)] + [(7, f"quelques mots {i}", "fr") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(language for language, _ in language_id.fit(docs, documents=10, per_document=2)) == ["en", "en", "fr", "fr"]
