@@ -15,7 +15,7 @@ CLASS_LABELS = ("Alpine", "Maritime", "Prairie", "Tundra", "Taiga")
 
 def check_encoder(name: str) -> str:
     if name not in ENCODERS:
-        raise ValueError(f"Unknown encoder type: {name}. Choose onehot, target, or catboost")
+        raise ValueError(f"no encoder is called {name}; there are {', '.join(ENCODERS)}")
     return name
 
 
@@ -29,7 +29,7 @@ def one_hot_names(column: str, labels=CLASS_LABELS) -> list[str]:
 def one_hot(df: DataFrame, column: str, labels=CLASS_LABELS) -> DataFrame:
     """A 0/1 column per class; a class outside ``labels`` fails the job."""
     known = F.col(column).isin(*labels)
-    unknown = F.raise_error(F.concat(F.lit("Found unknown category: "), F.coalesce(F.col(column), F.lit("null")))).cast("int")
+    unknown = F.raise_error(F.concat(F.lit("class without a column: "), F.coalesce(F.col(column), F.lit("null")))).cast("int")
     return df.withColumns(
         {
             name: F.when(known, (F.col(column) == label).cast("int")).otherwise(unknown)

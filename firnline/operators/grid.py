@@ -53,7 +53,7 @@ def attach_snow_class(df: DataFrame, grid: DataFrame, codes: DataFrame, header:
     )
     found = attach_nearest(df, named, header, ["snow_class"], x, y)
     if strict:
-        error = F.raise_error(F.lit("Provided coordinates are outside the grid bounds.")).cast("string")
+        error = F.raise_error(F.lit("point beyond the outer cell centres of the grid")).cast("string")
         found = found.withColumn("snow_class", F.when(~F.col("in_bounds"), error).otherwise(F.col("snow_class")))
     return found
 

@@ -21,13 +21,16 @@ FOREST_MODELS = ("rf",)
 BOOSTING_MODELS = ("lightgbm", "xgboost")
 MODELS = FOREST_MODELS + BOOSTING_MODELS
 
+#: Boosting rounds without a lower validation error before a booster stops.
+PATIENCE = 25
+
 VARIANTS = {
     "main": MAIN_FEATURES,
     "climate_7d": MAIN_FEATURES + CLIMATE_7_FEATURES,
     "climate_14d": MAIN_FEATURES + CLIMATE_14_FEATURES,
 }
 
-# Hyperparameter name to MLlib name; names without a counterpart are left out.
+# Hyperparameter name to MLlib name; names without a counterpart are refused.
 PARAMETER_NAMES = {
     "n_estimators": "numTrees",
     "max_depth": "maxDepth",
@@ -66,18 +69,28 @@ def backend_defaults(model: str, seed: int) -> dict:
     check_model(model)
     if model in FOREST_MODELS:
         return {"seed": seed, "featureSubsetStrategy": "all", "cacheNodeIds": False}
-    return {"seed": seed, "lossType": "squared", "validationTol": 0.0}
+    return {"seed": seed, "lossType": "squared"}
 
 
 def mllib_parameters(params: dict) -> dict:
-    mapped = {}
-    for name, value in params.items():
-        target = PARAMETER_NAMES.get(name, name)
-        if target in INTEGER_PARAMETERS:
-            value = int(value)
-        if name in PARAMETER_NAMES or name not in ("min_samples_split", "min_child_weight", "num_leaves", "reg_alpha", "reg_lambda"):
-            mapped[target] = value
-    return mapped
+    """MLlib's names and types; a setting that would have no effect is refused."""
+    unknown = sorted(set(params) - set(PARAMETER_NAMES))
+    if unknown:
+        raise ValueError(f"these learners have no setting for {', '.join(unknown)}")
+    named = {PARAMETER_NAMES[name]: value for name, value in params.items()}
+    return {name: int(value) if name in INTEGER_PARAMETERS else value for name, value in named.items()}
+
+
+def rounds_kept(errors: list[float], patience: int) -> int:
+    """Rounds up to the lowest error seen before ``patience`` rounds in a row brought
+    no lower one; ties keep the earlier round."""
+    best = 0
+    for i, error in enumerate(errors):
+        if error < errors[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
 
 
 @dataclass(frozen=True)
@@ -143,23 +156,31 @@ def fit(
     seed: int = 10,
     validation: DataFrame | None = None,
     nullable: list[str] | None = None,
+    patience: int = PATIENCE,
 ) -> PipelineModel:
-    """Fit one model. With ``validation`` rows a booster stops when they no longer
-    improve; the kept number of trees is ``best_iteration``."""
+    """Fit one model. With ``validation`` rows a booster keeps the trees up to the
+    round ``rounds_kept`` picks from the validation errors of all rounds; their number
+    is ``best_iteration``. Rounds do not depend on later ones, so fitting the kept
+    number again gives the same trees."""
     check_model(model)
     enable_checkpoints(train.sparkSession)
     columns = [*keys, *features, target]
     learner = regressor(model, params, target, seed)
     rows = train.select(*columns).withColumn("is_validation", F.lit(False))
-    if validation is not None and model in BOOSTING_MODELS:
-        learner = learner.setValidationIndicatorCol("is_validation")
+    stops_early = validation is not None and model in BOOSTING_MODELS
+    if stops_early:
         rows = rows.unionByName(validation.select(*columns).withColumn("is_validation", F.lit(True)))
     # the learner passes over its input several times; lay it out once
     laid = arrange(rows, keys).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         training = laid.where(~F.col("is_validation"))  # fill values come from training rows only
         fills = Pipeline(stages=assembly(features, nullable or [])).fit(training)
-        fitted = learner.fit(fills.transform(laid).select("features", target, "is_validation"))
+        vectors = fills.transform(laid).select("features", target, "is_validation")
+        fitted = learner.fit(vectors.where(~F.col("is_validation")))
+        if stops_early:
+            kept = rounds_kept(fitted.evaluateEachIteration(vectors.where("is_validation"), "squared"), patience)
+            if kept < fitted.getNumTrees:
+                fitted = learner.copy({learner.maxIter: kept}).fit(vectors.where(~F.col("is_validation")))
     finally:
         laid.unpersist()
     return PipelineModel(stages=[*fills.stages, fitted])
@@ -182,10 +203,10 @@ def evaluate(scored: DataFrame, target: str, name: str = "prediction") -> dict:
     return {"rmse": row.rmse, "r2": row.rsq, "mbe": row.mbe, "n": row.n}
 
 
-def train_and_evaluate(data: Encoded, target: str, model: str, params: dict, seed: int = 10, nullable: list[str] | None = None) -> dict:
+def train_and_evaluate(data: Encoded, target: str, model: str, params: dict, seed: int = 10, nullable: list[str] | None = None, patience: int = PATIENCE) -> dict:
     """Fit on the training rows, score the first other set."""
     evaluation = data.others[0]
-    fitted = fit(data.train, data.features, target, model, params, data.keys, seed, evaluation, nullable)
+    fitted = fit(data.train, data.features, target, model, params, data.keys, seed, evaluation, nullable, patience)
     scores = evaluate(predict(fitted, evaluation), target)
     return {**scores, "best_iteration": best_iteration(fitted), "model": fitted}
 

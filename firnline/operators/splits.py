@@ -112,7 +112,7 @@ SPLITTERS = {"spatial": SpatialSplitter, "hybrid": HybridSplitter}
 
 def create_splitter(strategy: str, seed: int = DEFAULT_SEED, **options):
     if strategy not in SPLITTERS:
-        raise ValueError(f"Unknown strategy: {strategy}. Available: {strategies()}")
+        raise ValueError(f"no split is called {strategy}; there are {strategies()}")
     return SPLITTERS[strategy](seed=seed, **options)
 
 

@@ -68,14 +68,14 @@ def swe(algorithm: str, mode: str = "permissive", **columns: Column) -> Column:
         return swe_from_density(depth * 100, jonas_density_checked(depth, month, columns.get("elevation", missing), mode))
     if name == "pistochi":
         return swe_from_density(depth, pistocchi_density_checked(day, mode))
-    raise ValueError(f"Unsupported algorithm: {algorithm}")
+    raise ValueError(f"no SWE method is called {algorithm}")
 
 
 def swe_by_name(algorithm: Column, choices: dict[str, Column]) -> Column:
     """Algorithm chosen per row; an unknown name is missing."""
     unknown = [c for c in choices if c not in ALGORITHMS]
     if unknown:
-        raise ValueError(f"Unsupported algorithm: {unknown}")
+        raise ValueError(f"no SWE method is called {unknown}")
     result = F.lit(None).cast("double")
     for name, value in choices.items():
         result = F.when(F.lower(algorithm) == name, value).otherwise(result)

@@ -79,7 +79,7 @@ def sweep(
     (a budget on trees, say). Encoded rows are cached per (variant, encoder)."""
     if mode not in ("default", "tune"):
         raise ValueError(f"Unknown mode: {mode}. Available: ['default', 'tune']")
-    seed = int(config.settings["seed"])
+    seed, patience = int(config.settings["seed"]), int(config.settings.get("early_stopping_rounds", learn.PATIENCE))
     results = []
     for variant in variants:
         for encoder in encoders:
@@ -94,7 +94,7 @@ def sweep(
 
                     def run(params, model=model, cached=cached):
                         usable = [c for c in (nullable or []) if c in cached.features]
-                        return learn.train_and_evaluate(cached, target, model, params, seed, usable), params
+                        return learn.train_and_evaluate(cached, target, model, params, seed, usable, patience), params
 
                     scores, params = min(in_parallel(run, trials, parallelism), key=lambda x: x[0]["rmse"])
                     results.append(record(model, variant, encoder, mode, scores, params, seed, timestamp))

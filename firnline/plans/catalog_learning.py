@@ -21,7 +21,7 @@ KEYS = ["Station_Name", "Date"]
 GEO = ["Latitude", "Longitude"]
 SEED = 10
 FOREST = {"n_estimators": 10, "max_depth": 6, "min_samples_leaf": 5}
-BOOSTED = {"num_boost_round": 8, "max_depth": 4, "learning_rate": 0.3}
+BOOSTED = {"num_boost_round": 60, "max_depth": 4, "learning_rate": 0.3}
 CLIMATE = ["TAVG_lag_7d", "PRECIPITATION_lag_7d", "TAVG_lag_14d", "PRECIPITATION_lag_14d"]
 
 
@@ -210,8 +210,8 @@ def m12(t):
     data = _data(t)
     fitted = learn.fit(data.train, data.features, "Snow_Density", "rf", FOREST, KEYS, SEED, None, GEO)
     held = data.others[0].select(*KEYS, "Snow_Class", "Snow_Density", *data.features)
-    by_class = learn.permutation_importance(fitted, held, ["Snow_Depth", "DOWY", "Elevation"], "Snow_Density", KEYS, "Snow_Class", SEED)
-    overall = learn.permutation_importance(fitted, held, ["Snow_Depth", "DOWY", "Elevation"], "Snow_Density", KEYS, None, SEED)
+    by_class = learn.permutation_importance(fitted, held, data.features, "Snow_Density", KEYS, "Snow_Class", SEED)
+    overall = learn.permutation_importance(fitted, held, data.features, "Snow_Density", KEYS, None, SEED)
     return by_class.unionByName(overall.withColumn("Snow_Class", F.lit("all")))
 
 
@@ -239,8 +239,7 @@ def m15(t):
     regressions and the surveys' mean."""
     train = _split(t).where("split <> 'test'")
     surveys = t.bc.withColumn("Station_Name", F.col("LOCATION_NAME"))
-    known = F.initcap("Snow_Class").isin(*encoders.CLASS_LABELS)
-    data = sweeps.prepare(train, [surveys.where(known)], "main", "target", "Snow_Density", KEYS, SEED)
+    data = sweeps.prepare(train, [surveys], "main", "target", "Snow_Density", KEYS, SEED)
     fitted = learn.fit(data.train, data.features, "Snow_Density", "rf", FOREST, KEYS, SEED, None, GEO)
     scored = learn.predict(fitted, data.others[0], "Forest_Density")
     scored = sweeps.with_baseline(scored, surveys, "Snow_Density")

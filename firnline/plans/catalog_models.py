@@ -55,7 +55,7 @@ def d3(t):
 @query("d4_hill_parts", "select Date, Site, round(swe_acc, 6) as swe_acc, round(swe_abl, 6) as swe_abl from hill", **VIEWS)
 def d4(t):
     acc, abl = swe.hill_parts(F.col("PPTWT"), F.col("Temp_Diff"), F.col("DOWY"), F.col("Snow_Depth") * 10)
-    return t.clean().select(day(), "Site", r(acc, 6, "swe_acc"), r(abl, 6, "swe_abl"))
+    return t.clean([]).select(day(), "Site", r(acc, 6, "swe_acc"), r(abl, 6, "swe_abl"))
 
 
 @query("d5_hill_blend", """
@@ -67,7 +67,7 @@ def d5(t):
 
 @query("d6_hill_swe", "select Date, Site, round(Hill_SWE, 6) as Hill_SWE from hill_swe", **VIEWS)
 def d6(t):
-    return swe.with_hill_swe(t.clean()).select(day(), "Site", r("Hill_SWE"))
+    return swe.with_hill_swe(t.clean([])).select(day(), "Site", r("Hill_SWE"))
 
 
 @query("d7_swe_from_density", "select Date, Site, round(Snow_Depth * Snow_Density, 6) as swe from snow")
@@ -97,7 +97,7 @@ def d8(t):
     from swes c join hill_swe h using (Date, Site)""", **VIEWS)
 def d9(t):
     models = ["Jonas", "Pistochi", "Sturm"]
-    scored = t.clean().transform(density.with_densities, models).transform(swe.with_swe_products, models).transform(swe.with_hill_swe)
+    scored = t.clean([]).transform(density.with_densities, models).transform(swe.with_swe_products, models).transform(swe.with_hill_swe)
     return scored.select(day(), "Site", r("Jonas_Density", 9), r("Pistochi_Density"), r("Sturm_Density"), r("Jonas_SWE", 9), *[r(f"{m}_SWE") for m in ("Pistochi", "Sturm", "Hill")])
 
 

@@ -44,8 +44,9 @@ def control(derived: DataFrame) -> DataFrame:
 
 def add_history(controlled: DataFrame, windows: list[int]) -> DataFrame:
     """Trailing means, annual spread and winter totals. All are computed from
-    every row, before the snow filters, so low-snow days feed the history."""
-    with_lags = climate.lag_features(controlled, "Station Name", "datetime", list(LAG_COLUMNS), windows)
+    every row, before the snow filters, so low-snow days feed the history. Without
+    windows the rows are not laid out in time slices at all."""
+    with_lags = climate.lag_features(controlled, "Station Name", "datetime", list(LAG_COLUMNS), windows) if windows else controlled
     spread = climate.temperature_difference(controlled, "Station Name", "datetime")
     totals = climate.winter_totals(controlled, "Station_Name", "datetime")
     return with_lags.join(spread, ["Station Name", "year"], "left").join(totals, ["Station_Name", "winter_end"], "left")
@@ -71,7 +72,7 @@ def shape(kept: DataFrame) -> DataFrame:
 
 
 def clean_observations(raw: DataFrame, windows: list[int] | None = None) -> DataFrame:
-    windows = windows or list(range(1, 31))
+    windows = list(range(1, 31)) if windows is None else windows
     return raw.transform(derive).transform(control).transform(add_history, windows).transform(keep_snow).transform(shape)
 
 

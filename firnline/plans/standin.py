@@ -91,7 +91,7 @@ class Tables:
         return cleaning.control(cleaning.derive(self.staged))
 
     def history(self, windows: list[int] | None = None) -> DataFrame:
-        return cleaning.add_history(self.controlled, windows or LAGS)
+        return cleaning.add_history(self.controlled, LAGS if windows is None else windows)
 
     def clean(self, windows: list[int] | None = None) -> DataFrame:
         return self.history(windows).transform(cleaning.keep_snow).transform(cleaning.shape)

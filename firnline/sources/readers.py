@@ -43,7 +43,7 @@ def select_variables(df: DataFrame, variables: tuple[str, ...] = OBSERVED_VARIAB
 def station_list(spark: SparkSession, triplets: list, names: list, elevations: list, classes: list) -> DataFrame:
     """Station tags from four lists of equal length."""
     if not len(triplets) == len(names) == len(elevations) == len(classes):
-        raise ValueError("The number of stations, station names, elevations, and snow classes must be the same!")
+        raise ValueError("a station needs a triplet, a name, an elevation and a snow class: the lists differ in length")
     rows = [(t, n, float(e), c) for t, n, e, c in zip(triplets, names, elevations, classes)]
     return spark.createDataFrame(rows, "site string, `Station Name` string, Elevation double, Snow_Class string")
 
@@ -129,7 +129,7 @@ class ParamSpec:
 
     def __post_init__(self):
         if self.type not in ("int", "float"):
-            raise ValueError(f"Unknown hyperparameter type '{self.type}'")
+            raise ValueError(f"a setting is drawn as int or float, not as {self.type}")
 
 
 @dataclass(frozen=True)
@@ -146,7 +146,7 @@ def load_search_space(path: str | None = None) -> SearchConfig:
     """Search space with type checks, from JSON (or YAML where a parser exists)."""
     path = path or default_search_space()
     if not os.path.exists(path):
-        raise FileNotFoundError(f"Config file not found: {path}")
+        raise FileNotFoundError(f"no search space is stored at {path}")
     with open(path, encoding="utf-8") as file:
         content = file.read()
     try:
@@ -167,4 +167,4 @@ def load_search_space(path: str | None = None) -> SearchConfig:
         }
         return SearchConfig(raw["global"], models)
     except (KeyError, TypeError, json.JSONDecodeError) as error:
-        raise ValueError(f"Error parsing search space: {error}") from error
+        raise ValueError(f"{path} does not hold a search space: {error}") from error

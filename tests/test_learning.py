@@ -42,7 +42,9 @@ def test_feature_sets():
         learn.variant_columns("climate_3d")
     with pytest.raises(ValueError):
         learn.check_model("extratrees")
-    assert learn.mllib_parameters({"n_estimators": 5.0, "num_leaves": 9, "eta": 0.1, "num_boost_round": 1500}) == {"numTrees": 5, "stepSize": 0.1, "maxIter": 1500}
+    assert learn.mllib_parameters({"n_estimators": 5.0, "eta": 0.1, "num_boost_round": 1500}) == {"numTrees": 5, "stepSize": 0.1, "maxIter": 1500}
+    with pytest.raises(ValueError, match="num_leaves"):
+        learn.mllib_parameters({"num_leaves": 9})
     assert learn.backend_defaults("xgboost", 3)["seed"] == 3
 
 
@@ -67,6 +69,32 @@ def test_boosting_stops_early_and_handles_missing_lags(days):
     assert 1 <= result["best_iteration"] <= 12 and result["rmse"] > 0
 
 
+def test_patience_picks_the_best_round():
+    assert learn.rounds_kept([5, 4, 4.5, 3, 3.5, 3.6, 2], 2) == 4
+    assert learn.rounds_kept([5, 4, 4.5, 3, 3.5, 3.6, 2], 3) == 7
+    assert learn.rounds_kept([1, 1, 1], 5) == 1
+
+
+def test_early_stopping_keeps_the_best_of_all_rounds(days):
+    train, val = parts(days)
+    data = sweeps.prepare(train, [val], "main", "onehot", "Snow_Density", KEYS, 10)
+    held = data.others[0]
+    settings = {"num_boost_round": 30, "max_depth": 3, "eta": 0.3}
+    kept = learn.fit(data.train, data.features, "Snow_Density", "xgboost", settings, KEYS, 10, held, ["Latitude"], patience=30)
+    rounds = learn.fit(data.train, data.features, "Snow_Density", "xgboost", settings, KEYS, 10, None, ["Latitude"])
+    errors = rounds.stages[-1].evaluateEachIteration(rounds.transform(held).drop("prediction"), "squared")
+    assert rounds.stages[-1].getNumTrees == 30
+    assert learn.best_iteration(kept) == errors.index(min(errors)) + 1
+    assert learn.evaluate(learn.predict(kept, held), "Snow_Density")["rmse"] == pytest.approx(min(errors) ** 0.5, rel=1e-9)
+
+
+def test_search_space_names_settings_that_take_effect():
+    config = readers.load_search_space()
+    for model in config.models:
+        assert learn.mllib_parameters(sweeps.draw_trials(config, model, 1, 1)[0])
+        assert model == "rf" or "num_boost_round" in config.models[model]
+
+
 def test_importance_permutation_is_a_permutation(spark, days):
     train, val = parts(days)
     mixed = learn.permuted(train, ["Snow_Depth"], KEYS, 1, train.count(), block_rows=50)
@@ -126,7 +154,7 @@ def test_search_space_errors(tmp_path):
     with pytest.raises(FileNotFoundError):
         readers.load_search_space(str(tmp_path / "none.json"))
     (tmp_path / "bad.json").write_text('{"global": {}, "models": {"rf": {"x": {"type": "text", "low": 1, "high": 2}}}}')
-    with pytest.raises(ValueError, match="Unknown hyperparameter type"):
+    with pytest.raises(ValueError, match="drawn as int or float"):
         readers.load_search_space(str(tmp_path / "bad.json"))
     (tmp_path / "worse.json").write_text("{")
     with pytest.raises(ValueError):
