@@ -1,6 +1,7 @@
 """Snow-class encoders. Statistics are small aggregates joined back by class, so
 no fold is refitted and no class is gathered in one task. The tables have one row
-per class (and fold); classes come from a short fixed list, so they are broadcast."""
+per class (and fold); any column can be the class, so they are broadcast only where a
+check finds them small."""
 
 from __future__ import annotations
 
@@ -8,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordering import hash_bucket, null_safe, running_before
+from .sizes import broadcast_if_small
 
 ENCODERS = ("onehot", "catboost", "target")
 CLASS_LABELS = ("Alpine", "Maritime", "Prairie", "Tundra", "Taiga")
@@ -87,21 +89,27 @@ def cross_fitted_target_encoding(train: DataFrame, column: str, y: str, keys: li
     out = {c: F.sum(c).over(of_class) - F.col(c) for c in ("n", "s", "q")}
     rest = {c: F.sum(c).over(of_all) - F.sum(c).over(of_fold) for c in ("n", "s", "q")}
     table = full.select(column, "__fold", _shrunk(out["n"], out["s"], out["q"], rest["n"], rest["s"], rest["q"]).alias(name))
-    return rows.alias("r").join(F.broadcast(table).alias("t"), null_safe("r", "t", [column, "__fold"])).select("r.*", f"t.{name}").drop("__fold")
+    return rows.alias("r").join(broadcast_if_small(table).alias("t"), null_safe("r", "t", [column, "__fold"])).select("r.*", f"t.{name}").drop("__fold")
 
 
 # -- ordered target statistics ----------------------------------------------------
 
 
-def ordered_encoding(train: DataFrame, column: str, y: str, blocks: list[str], order: list[str], name: str = "encoded") -> DataFrame:
+def ordered_encoding(train: DataFrame, column: str, y: str, blocks: list[str], order: list[str], name: str = "encoded", period: Column | None = None) -> DataFrame:
     """Each row gets the mean target of earlier rows of its class, with the
     overall mean as one prior observation. The order is ``blocks`` then ``order``
-    (station, then date); a class is cut at the blocks."""
+    (station, then date); a class is cut at the blocks.
+
+    ``period``, a number that never falls along ``order`` (the year, for dates), cuts
+    every block again, so that a station with a large share of all rows is spread over
+    its periods; rows without one come first."""
     filled = train.withColumn("__class", F.coalesce(F.col(column), F.lit("")))  # a missing class is a class
+    if period is not None:
+        filled, blocks = filled.withColumn("__period", F.coalesce(period.cast("long"), F.lit(-(2**62)))), [*blocks, "__period"]
     running = running_before(filled, ["__class"], blocks, order, {"__sum": F.col(y).cast("double"), "__count": F.lit(1)})
     prior = train.agg(F.avg(y).alias("__prior"))
     encoded = (F.col("__sum") + F.col("__prior")) / (F.col("__count") + 1)
-    return running.join(F.broadcast(prior)).withColumn(name, encoded).drop("__class", "__sum", "__count", "__prior")  # one row
+    return running.join(F.broadcast(prior)).withColumn(name, encoded).drop("__class", "__period", "__sum", "__count", "__prior")  # one row
 
 
 def ordered_encoding_table(train: DataFrame, column: str, y: str) -> DataFrame:
@@ -116,6 +124,7 @@ def ordered_encoding_table(train: DataFrame, column: str, y: str) -> DataFrame:
 
 def apply_encoding(df: DataFrame, table: DataFrame, column: str, name: str = "encoded") -> DataFrame:
     """Encoded class from a fitted table; an unseen class gets the fallback."""
+    table = broadcast_if_small(table)
     fallback = table.agg(F.max("fallback").alias("__fallback"))
-    joined = df.alias("d").join(F.broadcast(table).alias("t"), null_safe("d", "t", [column]), "left").select("d.*", F.col("t.encoded").alias("__encoded"))
+    joined = df.alias("d").join(table.alias("t"), null_safe("d", "t", [column]), "left").select("d.*", F.col("t.encoded").alias("__encoded"))
     return joined.join(F.broadcast(fallback)).withColumn(name, F.coalesce("__encoded", "__fallback")).drop("__encoded", "__fallback")  # one row

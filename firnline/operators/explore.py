@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .quantiles import exact_quantiles
+from .sizes import broadcast_if_small
 
 def value_counts(df: DataFrame, column: Column, name: str, order: str = "count") -> DataFrame:
     """Rows per value; ``order`` is ``count`` (descending) or ``value``."""
@@ -30,7 +31,7 @@ def distinct_counts(df: DataFrame, columns: list[str], approximate: bool = False
 def percentiles(df: DataFrame, columns: list[str], probabilities: list[float]) -> DataFrame:
     """Exact percentiles, one row per column, one output column per probability."""
     long = df.select(*[F.col(c).cast("double") for c in columns]).unpivot([], columns, "column_name", "value")
-    found = exact_quantiles(long, ["column_name"], "value", probabilities, few=True)
+    found = exact_quantiles(long, ["column_name"], "value", probabilities)
     return found.select("column_name", *[F.col("quantiles")[i].alias(f"p{p * 100:g}") for i, p in enumerate(probabilities)])
 
 
@@ -50,7 +51,7 @@ def describe(df: DataFrame, columns: list[str], probabilities: tuple[float, ...]
 def box_summary(df: DataFrame, by: str, value: str) -> DataFrame:
     """By class: quartiles, interquartile range, whisker ends (outermost values within 1.5
     ranges of the box) and the number of values beyond them."""
-    found = exact_quantiles(df, [by], value, [0.25, 0.5, 0.75], few=True).select(
+    found = exact_quantiles(df, [by], value, [0.25, 0.5, 0.75]).select(
         by,
         F.col("quantiles")[0].alias("q1"),
         F.col("quantiles")[1].alias("median"),
@@ -60,7 +61,7 @@ def box_summary(df: DataFrame, by: str, value: str) -> DataFrame:
     inside = v.between(F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr)
     return (
         df.select(by, value)
-        .join(F.broadcast(found), by)  # one row per class
+        .join(broadcast_if_small(found), by)
         .groupBy(by, "q1", "median", "q3")
         .agg(
             F.min(F.when(inside, v)).alias("whisker_low"),
@@ -76,12 +77,13 @@ def histogram(df: DataFrame, value: str, by: str, bins: int = 50) -> DataFrame:
     the last bin; empty bins are kept with count 0."""
     v = F.col(value)
     ranges = df.groupBy(by).agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
+    ranges = broadcast_if_small(ranges)
     place = F.try_divide(v - F.col("lo"), F.col("hi") - F.col("lo")) * bins
     bin_no = F.coalesce(F.least(F.floor(place), F.lit(bins - 1)), F.lit(0)).cast("int")
     counts = (
         df.where(v.isNotNull())
         .select(by, value)
-        .join(F.broadcast(ranges), by)  # one row per split
+        .join(ranges, by)
         .groupBy(by, bin_no.alias("bin"))
         .agg(F.count(F.lit(1)).alias("count"))
     )

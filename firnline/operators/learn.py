@@ -8,13 +8,13 @@ from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, SQLTransformer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import CLIMATE_7_FEATURES, CLIMATE_14_FEATURES, MAIN_FEATURES, NOMINAL_FEATURE
 from ..session import enable_checkpoints
 from . import encoders, metrics
-from .ordering import order_hash
+from .ordering import hashed_rank
 
 # Boosters and forests by the names used in experiment records.
 FOREST_MODELS = ("rf",)
@@ -114,7 +114,7 @@ def encode(train: DataFrame, others: list[DataFrame], encoder: str, target: str,
         fitted = encoders.cross_fitted_target_encoding(train, NOMINAL_FEATURE, target, keys, seed, name=name)
         table = encoders.target_encoding(train, NOMINAL_FEATURE, target)
     else:
-        fitted = encoders.ordered_encoding(train, NOMINAL_FEATURE, target, keys[:1], keys[1:], name)
+        fitted = encoders.ordered_encoding(train, NOMINAL_FEATURE, target, keys[:1], keys[1:], name, F.year(keys[1]))
         table = encoders.ordered_encoding_table(train, NOMINAL_FEATURE, target)
     applied = [encoders.apply_encoding(o, table, NOMINAL_FEATURE, name) for o in others]
     return Encoded(fitted, applied, [*numeric, name], keys)
@@ -222,36 +222,34 @@ def feature_importance(model: PipelineModel) -> list[tuple[str, float]]:
     return sorted(zip(names, model.stages[-1].featureImportances.toArray().tolist()), key=lambda x: (-x[1], x[0]))
 
 
-def permuted(df: DataFrame, features: list[str], keys: list[str], seed: int, rows: int, block_rows: int = 100_000) -> DataFrame:
+def permuted(df: DataFrame, features: list[str], keys: list[str], seed: int) -> DataFrame:
     """Every feature of ``features`` next to a shuffled copy ``{feature}_permuted``.
 
-    Rows are placed in blocks by the hash of their key; inside a block, in hashed
-    order, each row takes the value of the row before it and the first takes the
-    last one's. That is a permutation, blocks are even whatever the keys are, and
-    one shuffle serves all features.
+    All rows stand in one hashed order; each takes the values of the row before it and
+    the first those of the last. Ranks are exact and no task orders more than a hash
+    block, so the permutation is global whatever the number of rows. ``keys`` must
+    identify a row.
     """
-    blocks = max(1, -(-rows // block_rows))
-    number = F.pmod(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)), F.lit(blocks))
-    hashed = df.withColumn("__block", number).withColumn("__hash", order_hash(keys, seed))
-    order = Window.partitionBy("__block").orderBy("__hash", *keys)
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first = F.row_number().over(order) == 1
-    return hashed.withColumns(
-        {f"{f}_permuted": F.when(first, F.last(f).over(whole)).otherwise(F.lag(f, 1).over(order)) for f in features}
-    ).drop("__block", "__hash")
+    ranked = hashed_rank(df, [], keys, seed, "__rank")
+    number = df.agg(F.count(F.lit(1)).alias("__rows"))
+    donors = ranked.join(F.broadcast(number)).select(  # one row
+        (F.col("__rank") % F.col("__rows") + 1).alias("__rank"), *[F.col(f).alias(f"{f}_permuted") for f in features]
+    )
+    return ranked.join(donors, "__rank").drop("__rank")
 
 
 def permutation_importance(model: PipelineModel, df: DataFrame, features: list[str], target: str, keys: list[str], by: str | None = None, seed: int = 10) -> DataFrame:
     """RMSE increase when one feature is shuffled, per feature (and class)."""
-    rows = df.count()
-    shuffled = permuted(df, features, keys, seed, rows)
     group = [by] if by else []
-    base = predict(model, df)
-    scored = base.select(*group, F.lit("").alias("feature"), target, "prediction")
-    for name in features:
-        swapped = shuffled.withColumn(name, F.col(f"{name}_permuted"))
-        part = predict(model, swapped).select(*group, F.lit(name).alias("feature"), target, "prediction")
-        scored = scored.unionByName(part)
+
+    def copy(swapped: str):
+        """All features of a row, the one named taken from another row."""
+        return F.struct(F.lit(swapped).alias("feature"), *[F.col(f"{f}_permuted" if f == swapped else f).alias(f) for f in features])
+
+    rest = [c for c in df.columns if c not in features]
+    # The row as it is and a copy per feature: all are scored in one pass.
+    stacked = permuted(df, features, keys, seed).select(*rest, F.explode(F.array(*[copy(f) for f in ("", *features)])).alias("__copy"))
+    scored = predict(model, stacked.select(*rest, "__copy.*"))
     table = metrics.evaluate_model(scored, target, "prediction", [*group, "feature"])
     reference = table.where(F.col("feature") == "").select(*group, F.col("rmse").alias("base_rmse"))
     others = table.where(F.col("feature") != "")

@@ -16,17 +16,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sizes import broadcast_if_small
+
 ACCURACY = 10_000
 
 
-def exact_quantiles(df: DataFrame, by: list[str], value: str, probabilities: list[float], accuracy: int = ACCURACY, few: bool = False) -> DataFrame:
+def exact_quantiles(df: DataFrame, by: list[str], value: str, probabilities: list[float], accuracy: int = ACCURACY) -> DataFrame:
     """One row per group: ``by``, ``n`` (non-missing values) and ``quantiles``,
     an array in the order of ``probabilities``. A group whose values are all
-    missing keeps its row with null quantiles; a null key is no group.
-
-    ``few`` says that the groups are few by construction (columns of a table, snow
-    classes); their one-row-per-group table is then broadcast. Without it Spark
-    chooses the join by size."""
+    missing keeps its row with null quantiles; a null key is no group."""
     margin = 4.0 / accuracy
     brackets = [(max(p - margin, 0.0), min(p + margin, 1.0)) for p in probabilities]
     cuts = sorted({c for pair in brackets for c in pair})
@@ -46,7 +44,7 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probabilities: lis
     # rows without a value go to slice -1, where they count for nothing
     slice_no = F.coalesce(reduce(lambda a, b: a + b, [(v >= cut(c)).cast("int") for c in cuts]), F.lit(-1))
     histogram = (
-        rows.join(F.broadcast(groups) if few or not by else groups, keys)
+        rows.join(broadcast_if_small(groups), keys)
         .select(*keys, "n", "__v", slice_no.alias("slice"), F.when(inside, v).alias("kept"))
         .groupBy(*keys, "n", "slice", "kept")
         .agg(F.count("__v").alias("copies"))

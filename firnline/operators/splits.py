@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordering import hashed_rank
+from .sizes import broadcast_if_small
 
 SPATIAL_SEED = 300
 DEFAULT_SEED = 10
@@ -56,7 +57,7 @@ def assign_split(
     else:
         quotas = quotas.withColumn("n_val", F.lit(0))
     ranked = hashed_rank(units, [stratum], keys, seed, "__rank")
-    placed = ranked.join(F.broadcast(quotas.select(stratum, "n_test", "n_val")), stratum)  # one row per class
+    placed = ranked.join(broadcast_if_small(quotas.select(stratum, "n_test", "n_val")), stratum)
     rank = F.col("__rank")
     split = F.when(rank <= F.col("n_test"), "test").when(rank <= F.col("n_test") + F.col("n_val"), "val").otherwise("train")
     return placed.select(*[F.col(f"`{c}`") for c in columns], split.alias("split"))

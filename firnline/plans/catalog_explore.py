@@ -167,7 +167,7 @@ ORDERED_SQL = """(coalesce(sum(Snow_Density) over w, 0) + (select avg(Snow_Densi
     select Date, Site, round({ORDERED_SQL.format(v='snow')}, 6) as encoded from snow
     window w as (partition by Snow_Class order by Station_Name, Date rows between unbounded preceding and 1 preceding)""")
 def w7(t):
-    encoded = encoders.ordered_encoding(t.snow, "Snow_Class", "Snow_Density", ["Station_Name"], ["Date"])
+    encoded = encoders.ordered_encoding(t.snow, "Snow_Class", "Snow_Density", ["Station_Name"], ["Date"], period=F.year("Date"))
     return encoded.select(day(), "Site", r("encoded"))
 
 

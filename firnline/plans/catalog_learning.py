@@ -143,7 +143,7 @@ _TRAINING = "select * from spatial where split <> 'test'"
 def m7(t):
     rows = _split(t, _days(t))
     train, test = rows.where("split <> 'test'"), rows.where("split = 'test'")
-    fitted = encoders.ordered_encoding(train, "Snow_Class", "Snow_Density", ["Station_Name"], ["Date"])
+    fitted = encoders.ordered_encoding(train, "Snow_Class", "Snow_Density", ["Station_Name"], ["Date"], period=F.year("Date"))
     applied = encoders.apply_encoding(test, encoders.ordered_encoding_table(train, "Snow_Class", "Snow_Density"), "Snow_Class")
     return fitted.select("Date", "Site", F.lit("train").alias("part"), r("encoded")).unionByName(
         applied.select("Date", "Site", F.lit("test").alias("part"), r("encoded"))

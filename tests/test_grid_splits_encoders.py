@@ -3,8 +3,10 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from firnline.operators import encoders, grid, ordering, splits
+from firnline.operators.sizes import broadcast_if_small
 
 HEADER = grid.GridHeader(x0=-120.0, y0=40.0, dx=1.0, dy=-0.5, nx=3, ny=3)
 
@@ -130,6 +132,26 @@ def test_ordered_encoding_equals_loop(spark):
     assert table["once"] == pytest.approx(prior)
 
 
+def test_ordered_encoding_spreads_a_dominant_station(spark):
+    """A station with nearly all rows: the periods change no value, and no window
+    partition holds more than one of its periods."""
+    days = spark.range(3000).selectExpr("if(id % 30 = 0, concat('s', id % 7), 'hot') as s", "date_add(date'2000-01-01', cast(id as int)) as d", "'a' as c", "cast(id % 11 as double) as y")
+    days = days.withColumn("d", F.when(F.col("y") == 3, None).otherwise(F.col("d"))).withColumn("tie", F.monotonically_increasing_id()).cache()
+    plain = encoders.ordered_encoding(days, "c", "y", ["s"], ["d", "tie"])
+    cut = encoders.ordered_encoding(days, "c", "y", ["s"], ["d", "tie"], period=F.year("d"))
+    assert plain.columns == cut.columns
+    both = plain.alias("p").join(cut.alias("q"), "tie").selectExpr("abs(p.encoded - q.encoded) as gap").agg(F.count("gap"), F.max("gap")).first()
+    assert both[0] == 3000 and both[1] < 1e-9
+    windows = [line for line in cut._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in line and "tie#" in line]
+    assert windows and all("__period#" in line for line in windows)
+    assert days.where("s = 'hot' and d is not null").groupBy(F.year("d")).count().agg(F.max("count")).first()[0] < 366
+
+
+def test_broadcast_is_checked(spark):
+    plans = [broadcast_if_small(spark.range(n), 10)._jdf.queryExecution().analyzed().toString() for n in (10, 11)]
+    assert "strategy=broadcast" in plans[0] and "Hint" not in plans[1]
+
+
 def test_one_hot(spark):
     df = spark.createDataFrame([("Alpine",), ("Taiga",)], "c string")
     rows = encoders.one_hot(df, "c").collect()

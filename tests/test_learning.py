@@ -97,7 +97,7 @@ def test_search_space_names_settings_that_take_effect():
 
 def test_importance_permutation_is_a_permutation(spark, days):
     train, val = parts(days)
-    mixed = learn.permuted(train, ["Snow_Depth"], KEYS, 1, train.count(), block_rows=50)
+    mixed = learn.permuted(train, ["Snow_Depth"], KEYS, 1)
     a = sorted(r[0] for r in mixed.select("Snow_Depth").collect())
     b = sorted(r[0] for r in mixed.select("Snow_Depth_permuted").collect())
     assert a == b and mixed.where("Snow_Depth <> Snow_Depth_permuted").count() > 0.9 * len(a)
