@@ -2,11 +2,16 @@
 (S9 to S11).
 
 Learning queries run over all station-days. Tree counts and depths are set small
-so that a query takes seconds; the functions take any budget.
+so that a query takes seconds; the functions take any budget. SQL knows no forest, so
+beside each query with scores stands one with what is determined in its result (rows,
+steps, grids, baselines, regressions), taken from the same run and compared with SQL.
 """
 
 from __future__ import annotations
 
+import re
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import encoders, learn, metrics, splits, sweeps
@@ -14,8 +19,10 @@ from ..session import scratch_path
 from ..sources import readers, writers
 from . import cleaning
 from .catalog_explore import ORDERED_SQL
+from .catalog_models import SCORES, VIEWS
 from .registry import day, query, r
 from .splits_sql import FIFTH, SPLIT_VIEWS, split_sql
+from .standin import _history_sql
 
 KEYS = ["Station_Name", "Date"]
 GEO = ["Latitude", "Longitude"]
@@ -177,6 +184,18 @@ def m8(t):
     return metrics.compare_models(scored.select("Snow_Density", "rf", "mean"), "Snow_Density")
 
 
+_HELD = {**SPLIT_VIEWS, "held": "select *, (select avg(Snow_Density) from spatial where split = 'train') as mean from spatial where split = 'val'"}
+
+
+@query("m8_baseline", """
+    select 'mean' as model, round(sqrt(avg((mean - Snow_Density) * (mean - Snow_Density))), 6) as rmse, round(avg(mean - Snow_Density), 6) as mbe, count(*) as n from held
+    union all select 'rf', cast(null as double), cast(null as double), count(*) from held""", **_HELD)
+def m8_baseline(t):
+    """The baseline's scores, and the rows that both models are scored on."""
+    known = F.col("model") == "mean"
+    return m8(t).select("model", F.when(known, r("rmse")).alias("rmse"), F.when(known, r("mbe")).alias("mbe"), "n")
+
+
 @query("m9_early_stopping")
 def m9(t):
     """Boosting that stops when the validation rows no longer improve."""
@@ -184,6 +203,12 @@ def m9(t):
     return _scores(t, [{k: result[k] for k in ("rmse", "mbe", "r2", "n", "best_iteration")}])
 
 
+@query("m9_rounds", "select count(*) as n, true as within from held", **_HELD)
+def m9_rounds(t):
+    """Rows scored; the rounds kept are some of those asked for."""
+    return m9(t).select("n", F.col("best_iteration").between(1, BOOSTED["num_boost_round"]).alias("within"))
+
+
 @query("m10_default_run")
 def m10(t):
     """Default parameters, one-hot classes, climate features with missing lags."""
@@ -191,19 +216,39 @@ def m10(t):
     return _scores(t, [{k: result[k] for k in ("rmse", "mbe", "r2", "n")}])
 
 
+@query("m10_rows", "select count(*) as n from clean join station_split using (Station_Name) where split = 'val'", **SPLIT_VIEWS)
+def m10_rows(t):
+    """Rows scored: those with missing lags are among them."""
+    return m10(t).select("n")
+
+
 def _sweep(t, **options):
-    rows = _split(t)
+    rows = _split(t, t.located(t.clean()))
     train, val, _ = _parts(rows)
-    settings = {"variants": ["main"], "encoders": ["target", "onehot"], "models": ["rf"], "n_trials": 2, "timestamp": "20250101_000000", "nullable": GEO, "fixed": {"n_estimators": 5, "max_depth": 5}}
+    settings = {"variants": list(learn.VARIANTS), "encoders": list(encoders.ENCODERS), "models": ["rf"], "n_trials": 2, "timestamp": "20250101_000000", "nullable": [*CLIMATE, *GEO], "fixed": {"n_estimators": 5, "max_depth": 5}}
     return sweeps.sweep(train, val, "Snow_Density", KEYS, readers.load_search_space(), **{**settings, **options})
 
 
 @query("m11_tuning_sweep")
 def m11(t):
-    """Random search over encoders; the best run of each is kept. Also S12, M17."""
+    """Random search over every variant and encoder; the best run of each is kept. Also
+    S12, M17."""
     return sweeps.experiments_table(t.spark, _sweep(t))
 
 
+_GRID = "select 'rf' as model, variant, encoder, mode, true as scored from (select unnest(['main', 'climate_7d', 'climate_14d']) as variant), (select unnest([{encoders}]) as encoder), (select unnest([{modes}]) as mode)"
+
+
+def _grid(records):
+    return records.select("model", "variant", "encoder", "mode", (F.col("rmse") > 0).alias("scored"))
+
+
+@query("m11_grid", _GRID.format(encoders="'onehot', 'catboost', 'target'", modes="'tune'"))
+def m11_grid(t):
+    """One scored record for each variant and encoder."""
+    return _grid(m11(t))
+
+
 @query("m12_feature_importance")
 def m12(t):
     """Permutation importance by class next to the overall one."""
@@ -215,6 +260,14 @@ def m12(t):
     return by_class.unionByName(overall.withColumn("Snow_Class", F.lit("all")))
 
 
+@query("m12_grid", """
+    select Snow_Class, feature from (select distinct Snow_Class from held union all select 'all'),
+      (select unnest(['Elevation', 'Snow_Depth', 'DOWY', 'Latitude', 'Longitude', 'Snow_Class_encoded']) as feature)""", **_HELD)
+def m12_grid(t):
+    """Every class and feature has an importance."""
+    return m12(t).where("importance is not null").select("Snow_Class", "feature")
+
+
 @query("m13_lag_sweep")
 def m13(t):
     """One model per averaging window of 1 to 30 days; the best is marked."""
@@ -226,6 +279,13 @@ def m13(t):
     return _scores(t, [{**x, "best": x["lag"] == best} for x in results])
 
 
+@query("m13_lags", "select cast(unnest(range(1, 31)) as bigint) as lag, cast(1 as bigint) as n_best")
+def m13_lags(t):
+    """All windows are scored and one of them is the best."""
+    scored = m13(t).where("rmse > 0")
+    return scored.select("lag", F.sum(F.col("best").cast("long")).over(Window.partitionBy()).alias("n_best"))
+
+
 @query("m14_learning_curve")
 def m14(t):
     """Retraining on 10 to 80 % of the stations, error on a fixed fifth."""
@@ -233,17 +293,98 @@ def m14(t):
     return _scores(t, sweeps.learning_curve(rows, "Snow_Density", KEYS, ["Station_Name"], "rf", {"n_estimators": 3, "max_depth": 4}, SEED, 8, GEO, 4))
 
 
+_CURVE = split_sql("station_set", ["Station_Name"], None, FIFTH, None, SEED)
+_CURVE["station_portions"] = f"select Station_Name, ntile(8) over (order by md5(concat_ws('|', '{SEED}', Station_Name)), Station_Name) as portion from placed where split <> 'test'"
+
+
+@query("m14_steps", """
+    select step * 10 as training_percent, count(distinct Station_Name) as training_units, count(*) as training_samples
+    from (select unnest(range(1, 9)) as step) join station_portions on portion <= step join snow using (Station_Name) group by step""", station_set=_STATION_SET, **_CURVE)
+def m14_steps(t):
+    """Stations and rows that each step of the curve trains on."""
+    return m14(t).select("training_percent", "training_units", "training_samples")
+
+
+def _surveys(t):
+    """Surveys of both regions: region, survey_id and the analysis columns."""
+    shared = ["survey_id", "Date", "Station_Name", "Snow_Class", "Elevation", "Latitude", "Longitude", "SWE", "Snow_Depth", "Snow_Density", "DOWY", "Sturm_DOWY", "Pistochi_DOWY"]
+    regions = {"bc": t.bc.withColumn("Station_Name", F.col("LOCATION_NAME")), "maine": t.maine.withColumn("Station_Name", F.col("SITE_NAME"))}
+    return {name: rows.select(*shared) for name, rows in regions.items()}
+
+
+def _transferred(train, surveys):
+    """A forest fitted on ``train``, scored on surveys next to the regressions and the
+    surveys' mean."""
+    keys = ["Station_Name", "Date", "survey_id"]
+    data = sweeps.prepare(train, [surveys], "main", "target", "Snow_Density", keys, SEED)
+    fitted = learn.fit(data.train, data.features, "Snow_Density", "rf", FOREST, keys, SEED, None, GEO)
+    scored = learn.predict(fitted, data.others[0], "Forest_Density")
+    return sweeps.transfer_scores(sweeps.with_baseline(scored, surveys, "Snow_Density"), "Forest")
+
+
 @query("m15_transfer")
 def m15(t):
-    """Fitted on stations, scored on the surveys of another region next to the
+    """Fitted on stations, scored on all surveys of two other regions next to the
     regressions and the surveys' mean."""
-    train = _split(t).where("split <> 'test'")
-    surveys = t.bc.withColumn("Station_Name", F.col("LOCATION_NAME"))
-    data = sweeps.prepare(train, [surveys], "main", "target", "Snow_Density", KEYS, SEED)
-    fitted = learn.fit(data.train, data.features, "Snow_Density", "rf", FOREST, KEYS, SEED, None, GEO)
-    scored = learn.predict(fitted, data.others[0], "Forest_Density")
-    scored = sweeps.with_baseline(scored, surveys, "Snow_Density")
-    return sweeps.transfer_scores(scored, "Forest")
+    train = _split(t).where("split <> 'test'").withColumn("survey_id", F.lit(None).cast("long"))
+    parts = [_transferred(train, rows).select(F.lit(region).alias("region"), "*") for region, rows in _surveys(t).items()]
+    return parts[0].unionByName(parts[1])
+
+
+@query("m15_retrained")
+def m15_retrained(t):
+    """The same after retraining with a region's own surveys: four fifths of them join
+    the stations, the last fifth is scored."""
+    parts = []
+    for region, rows in _surveys(t).items():
+        placed = splits.split_rows(rows, ["survey_id"], 0.2, SEED)
+        local, held = placed.where("split = 'train'").drop("split"), placed.where("split = 'test'").drop("split")
+        stations = _split(t).where("split <> 'test'").withColumn("survey_id", F.lit(None).cast("long"))
+        train = stations.select(*local.columns).unionByName(local)
+        parts.append(_transferred(train, held).select(F.lit(region).alias("region"), "*"))
+    return parts[0].unionByName(parts[1])
+
+
+def _reference_sql(where: str) -> str:
+    """Regressions and baseline on the surveys of both regions."""
+    scores = []
+    for region in ("bc", "maine"):
+        for model in ("Jonas", "Pistochi", "Sturm", "Baseline"):
+            for kind, truth, yhat in (("Density", "Snow_Density", f"{model}_Density"), ("SWE", "SWE", f"{model}_Density * Snow_Depth")):
+                scores.append(f"select '{region}' as region, '{model}_{kind}' as model, {SCORES} from (select {truth} as y, {yhat} as yhat from {region}_{where})")
+    return " union all ".join(scores)
+
+
+def _reference_views() -> dict[str, str]:
+    views = {k: VIEWS[k] for k in ("sturm", "jonas")}
+    for region in ("bc", "maine"):
+        split = split_sql(region, ["survey_id"], None, FIFTH, None, SEED)
+        named = {name: f"{region}_{name}" for name in split}
+        for name, sql in split.items():
+            for old, new in named.items():
+                sql = re.sub(rf"\b(from|join) {old}\b", rf"\1 {new}", sql)
+            views[named[name]] = sql
+        modelled = VIEWS["densities"].replace("snow.*", "s.*").replace("from snow ", "from {rows} s ")
+        complete = "select * from ({modelled}) where Snow_Density is not null and SWE is not null and Jonas_Density is not null and Pistochi_Density is not null and Sturm_Density is not null"
+        for where, rows in (("all", region), ("held", f"(select * from {region}_placed where split = 'test')")):
+            mean = f"(select *, avg(Snow_Density) over () as Baseline_Density from {rows})"
+            views[f"{region}_{where}"] = complete.format(modelled=modelled.format(rows=mean))
+    return views
+
+
+def _references(scores):
+    return scores.where("model not like 'Forest%'").select("region", "model", r("rmse"), r("mbe"), r("rsq"), "n")
+
+
+@query("m15_references", _reference_sql("all"), **_reference_views())
+def m15_references(t):
+    """What the transferred forest is compared with, on the rows it is scored on."""
+    return _references(m15(t))
+
+
+@query("m15_retrained_references", _reference_sql("held"), **_reference_views())
+def m15_retrained_references(t):
+    return _references(m15_retrained(t))
 
 
 @query("m16_direct_swe")
@@ -257,7 +398,13 @@ def m16(t):
     direct_fit = learn.fit(direct.train, direct.features, "SWE", "rf", FOREST, KEYS, SEED, None, GEO)
     direct_scores = learn.evaluate(learn.predict(direct_fit, direct.others[0], "direct"), "SWE", "direct")
     gain = sweeps.relative_gain(direct_scores["rmse"], derived_scores["rmse"])
-    return _scores(t, [{"direct_rmse": direct_scores["rmse"], "derived_rmse": derived_scores["rmse"], "gain_percent": gain}])
+    return _scores(t, [{"direct_rmse": direct_scores["rmse"], "derived_rmse": derived_scores["rmse"], "gain_percent": gain, "n": direct_scores["n"], "derived_n": derived_scores["n"]}])
+
+
+@query("m16_rows", "select count(*) as n, count(*) as derived_n from spatial where split = 'test'", **SPLIT_VIEWS)
+def m16_rows(t):
+    """Both ways are scored on the same rows."""
+    return m16(t).select("n", "derived_n")
 
 
 @query("m18_final_refit")
@@ -265,9 +412,15 @@ def m18(t):
     """Best stored run of each model refitted on train and validation; scores of
     the held-out predictions side by side."""
     stored = sweeps.experiments_table(t.spark, _sweep(t))
-    rows = _split(t)
-    scored = sweeps.final_refit(stored, rows.where("split <> 'test'"), rows.where("split = 'test'"), "Snow_Density", KEYS, GEO)
-    return metrics.compare_models(scored.select("Snow_Density", "rf_main"), "Snow_Density")
+    rows = _split(t, t.located(t.clean()))
+    scored = sweeps.final_refit(stored, rows.where("split <> 'test'"), rows.where("split = 'test'"), "Snow_Density", KEYS, [*CLIMATE, *GEO])
+    return metrics.compare_models(scored.select("Snow_Density", *[f"rf_{v}" for v in learn.VARIANTS]), "Snow_Density")
+
+
+@query("m18_rows", "select concat('rf_', variant) as model, count(*) as n from clean join station_split using (Station_Name), (select unnest(['main', 'climate_7d', 'climate_14d']) as variant) where split = 'test' group by 1", **SPLIT_VIEWS)
+def m18_rows(t):
+    """A refit for every variant, each scored on all test rows."""
+    return m18(t).select("model", "n")
 
 
 @query("s9_experiment_records")
@@ -280,19 +433,26 @@ def s9(t):
     return readers.read_experiments(t.spark, path)
 
 
+@query("s9_grid", _GRID.format(encoders="'target'", modes="'default', 'tune'"))
+def s9_grid(t):
+    """Both runs of every variant are in the table."""
+    return _grid(s9(t))
+
+
+_WINDOWS = list(range(1, 31))
 _PERSISTED = " union all ".join(
     f"select cast({w} as int) as lag, round(sqrt(avg((TAVG_lag_{w}d - TAVG) * (TAVG_lag_{w}d - TAVG))), 6) as rmse from history where TAVG_lag_{w}d is not null and TAVG is not null"
-    for w in (7, 14)
+    for w in _WINDOWS
 )
 
 
-@query("s10_collect_lag_results", _PERSISTED)
+@query("s10_collect_lag_results", _PERSISTED, history=_history_sql(_WINDOWS))
 def s10(t):
     """RMSE of the trailing mean as a forecast, stored per window in a folder of
     its own and collected by the number in the path."""
     root = scratch_path(t.spark, "lags")
-    history = t.history()
-    scores = metrics.compare_models(history.select("TAVG", "TAVG_lag_7d", "TAVG_lag_14d"), "TAVG").collect()  # one row per window
+    history = t.history(_WINDOWS)
+    scores = metrics.compare_models(history.select("TAVG", *[f"TAVG_lag_{w}d" for w in _WINDOWS]), "TAVG").collect()  # one row per window
     for score in scores:
         lag = score.model.removeprefix("TAVG_lag_")
         record = {"model": "trailing_mean", "variant": f"climate_{lag}", "encoder": "target", "mode": "tune", "rmse": score.rmse, "r2": score.rsq, "mbe": score.mbe}
@@ -300,7 +460,7 @@ def s10(t):
     return readers.collect_lag_results(t.spark, root).select("lag", r("rmse"))
 
 
-@query("s11_save_and_reuse_model")
+@query("s11_save_and_reuse_model", "select count(*) as n, cast(0 as double) as largest_difference from held", **_HELD)
 def s11(t):
     """A saved model with its fill values gives the same predictions when loaded."""
     data = _data(t)

@@ -77,18 +77,20 @@ def d7(t):
 
 @query("d8_swe_by_algorithm", """
     select Date, Site, algorithm, round(case algorithm when 'default' then Snow_Depth * Snow_Density when 'STURM' then Sturm_SWE
-      when 'Jonas' then (Snow_Depth * cast(0.01 as double)) * 100 * Jonas_Density when 'pistochi' then Pistochi_SWE end, 9) as swe
-    from (select *, case DOWY % 5 when 0 then 'default' when 1 then 'STURM' when 2 then 'Jonas' when 3 then 'pistochi' else 'other' end as algorithm from swes)""", **VIEWS)
+      when 'Jonas' then (Snow_Depth * cast(0.01 as double)) * 100 * Jonas_Density when 'pistochi' then Pistochi_SWE when 'Hill' then Hill_SWE end, 9) as swe
+    from (select *, case DOWY % 6 when 0 then 'default' when 1 then 'STURM' when 2 then 'Jonas' when 3 then 'pistochi' when 4 then 'Hill' else 'other' end as algorithm
+          from swes join (select Date, Site, Hill_SWE from hill_swe) using (Date, Site))""", **VIEWS)
 def d8(t):
     depth = F.col("Snow_Depth")
-    algorithm = F.expr("case DOWY % 5 when 0 then 'default' when 1 then 'STURM' when 2 then 'Jonas' when 3 then 'pistochi' else 'other' end")
+    algorithm = F.expr("case DOWY % 6 when 0 then 'default' when 1 then 'STURM' when 2 then 'Jonas' when 3 then 'pistochi' when 4 then 'Hill' else 'other' end")
     choices = {
         "default": swe.swe("default", snow_depth=depth, snow_density=F.col("Snow_Density")),
         "sturm": swe.swe("sturm", snow_depth=depth, DOY=F.col("Sturm_DOWY"), snow_class=F.col("Snow_Class")),
         "jonas": swe.swe("jonas", snow_depth=depth * 0.01, month=F.month("Date"), elevation=F.col("Elevation")),
         "pistochi": swe.swe("pistochi", snow_depth=depth, DOY=F.col("Pistochi_DOWY")),
+        "hill": swe.swe("hill", snow_depth=depth * 10, pptwt=F.col("PPTWT"), TD=F.col("Temp_Diff"), DOY=F.col("DOWY")),
     }
-    return t.snow.select(day(), "Site", algorithm.alias("algorithm"), r(swe.swe_by_name(algorithm, choices), 9, "swe"))
+    return t.clean([]).select(day(), "Site", algorithm.alias("algorithm"), r(swe.swe_by_name(algorithm, choices), 9, "swe"))
 
 
 @query("d9_score_table", """

@@ -338,7 +338,7 @@ CTES["maine"] = f"""
         select survey_id, d as Date, SITE_NAME, LATITUDE as Latitude, LONGITUDE as Longitude, Snow_Class, Elevation,
           SWE, Snow_Depth, SWE / Snow_Depth as Snow_Density, {_days_sql('d')}
         from (select s.*, cast(SURVEY_DATE_TEXT as date) as d,
-                concat(upper(substr(c.snow_class, 1, 1)), lower(substr(c.snow_class, 2))) as Snow_Class,
+                upper(substr(c.snow_class, 1, 1)) || lower(substr(c.snow_class, 2)) as Snow_Class,
                 elevation_m as Elevation, WATER * cast(2.54 as double) as SWE, DEPTH * cast(2.54 as double) as Snow_Depth
               from survey_cells s left join cells c using (ix, iy)) x
         where CONFIDENCE_LEVEL = 'GOOD' and DENSITY > 0 and DENSITY < 1 and Snow_Class is not null and Snow_Class <> 'Ocean' and Elevation is not null
@@ -348,7 +348,7 @@ CTES["bc"] = f"""
         select survey_id, d as Date, LOCATION_NAME, LATITUDE as Latitude, LONGITUDE as Longitude, Snow_Class, ELEVATION as Elevation,
           SWE_cm as SWE, SD as Snow_Depth, rho_g_cm3 as Snow_Density, {_days_sql('d')}
         from (select s.*, cast(s.Date as date) as d,
-                concat(upper(substr(c.snow_class, 1, 1)), lower(substr(c.snow_class, 2))) as Snow_Class
+                upper(substr(c.snow_class, 1, 1)) || lower(substr(c.snow_class, 2)) as Snow_Class
               from survey_bc_cells s left join cells c using (ix, iy)) x
         where Snow_Class is not null and ELEVATION is not null and month(d) not between 7 and 9"""
 
