@@ -305,6 +305,24 @@ def m14_steps(t):
     return m14(t).select("training_percent", "training_units", "training_samples")
 
 
+@query("m14_learning_curve_rows")
+def m14_by_rows(t):
+    """Retraining on 10 to 80 % of the rows, error on a fixed fifth."""
+    return _scores(t, sweeps.learning_curve(t.located(_days(t)), "Snow_Density", KEYS, KEYS, "rf", {"n_estimators": 3, "max_depth": 4}, SEED, 8, GEO, 4))
+
+
+_ROW_CURVE = split_sql("snow", KEYS, None, FIFTH, None, SEED)
+_ROW_CURVE["row_portions"] = f"select ntile(8) over (order by md5(concat_ws('|', '{SEED}', Station_Name, cast(Date as varchar))), Station_Name, Date) as portion from placed where split <> 'test'"
+
+
+@query("m14_row_steps", """
+    select step * 10 as training_percent, count(*) as training_units, count(*) as training_samples
+    from (select unnest(range(1, 9)) as step) join row_portions on portion <= step group by step""", **_ROW_CURVE)
+def m14_row_steps(t):
+    """Rows that each step of the curve trains on."""
+    return m14_by_rows(t).select("training_percent", "training_units", "training_samples")
+
+
 def _surveys(t):
     """Surveys of both regions: region, survey_id and the analysis columns."""
     shared = ["survey_id", "Date", "Station_Name", "Snow_Class", "Elevation", "Latitude", "Longitude", "SWE", "Snow_Depth", "Snow_Density", "DOWY", "Sturm_DOWY", "Pistochi_DOWY"]
