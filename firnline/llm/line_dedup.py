@@ -5,8 +5,9 @@ overlap if it is rare, or too long to be boilerplate however often it occurs. Ea
 telling line links its document to the first holder of the line, so there is one pair
 at most per line of a document and never a pair per two holders. The two documents of
 a pair are aligned by patience diff, on line hashes, and every common block that holds
-a telling line leaves the later document. What goes is always still there in the first
-document that had it.
+a telling line leaves the later document. Telling lines that the alignment cannot place,
+as they are repeated or in another order, leave with the longest common stretch around
+them. What goes is always still there in the first document that had it.
 
 Of the earlier document a pair gets only the stretch that an alignment could reach, so
 a very long first holder is not copied to each of thousands of later documents.
@@ -14,6 +15,7 @@ a very long first holder is not copied to each of thousands of later documents.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -35,7 +37,7 @@ def increasing(values: list[int]) -> list[int]:
     tops: list[int] = []
     before = [-1] * len(values)
     for i, value in enumerate(values):
-        at = int(np.searchsorted(tops, value)) if tops else 0
+        at = bisect_left(tops, value)
         if at:
             before[i] = piles[at - 1]
         if at == len(piles):
@@ -50,9 +52,21 @@ def increasing(values: list[int]) -> list[int]:
     return out[::-1]
 
 
+def _numbered(lines: list[int]) -> list[tuple[int, int]]:
+    """Each line with the number of times it stood before."""
+    seen: Counter = Counter()
+    out = []
+    for x in lines:
+        out.append((x, seen[x]))
+        seen[x] += 1
+    return out
+
+
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Aligned positions of two sequences: equal ends, then the longest ordered chain
-    of lines unique on both sides, then the same in every gap between them."""
+    of lines unique on both sides, then the same in every gap between them. In a gap
+    without such a line the k-th occurrences of each line are paired instead, so no gap
+    is left in which both sides have a line in common."""
     matches, gaps = [], [(0, len(a), 0, len(b))]
     while gaps:
         a0, a1, b0, b1 = gaps.pop()
@@ -66,8 +80,11 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             continue
         counts = Counter(a[a0:a1]), Counter(b[b0:b1])
         place = {x: j for j, x in enumerate(b[b0:b1], b0) if counts[1][x] == 1}
-        unique = [(i, place[x]) for i, x in enumerate(a[a0:a1], a0) if x in place and counts[0][x] == 1]
-        chain = [unique[k] for k in increasing([j for _, j in unique])]
+        pairs = [(i, place[x]) for i, x in enumerate(a[a0:a1], a0) if x in place and counts[0][x] == 1]
+        if not pairs:
+            place = {x: j for j, x in enumerate(_numbered(b[b0:b1]), b0)}
+            pairs = [(i, place[x]) for i, x in enumerate(_numbered(a[a0:a1]), a0) if x in place]
+        chain = [pairs[k] for k in increasing([j for _, j in pairs])]
         if chain:
             edges = [(a0 - 1, b0 - 1), *chain, (a1, b1)]
             matches += chain
@@ -75,18 +92,63 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(matches)
 
 
+def standing(own: list[int], other: list[int]) -> list[int]:
+    """For each place of ``own`` the length of the longest stretch that ends there and
+    stands in ``other`` too, by the suffix automaton of ``other``."""
+    steps, links, longest, last = [{}], [-1], [0], 0
+    for x in other:
+        new, at = len(steps), last
+        steps.append({}), links.append(0), longest.append(longest[last] + 1)
+        while at >= 0 and x not in steps[at]:
+            steps[at][x] = new
+            at = links[at]
+        if at >= 0:
+            target = steps[at][x]
+            if longest[target] > longest[at] + 1:
+                twin = len(steps)
+                steps.append(dict(steps[target])), links.append(links[target]), longest.append(longest[at] + 1)
+                links[target] = twin
+                while at >= 0 and steps[at].get(x) == target:
+                    steps[at][x] = twin
+                    at = links[at]
+                target = twin
+            links[new] = target
+        last = new
+    out, at, length = [], 0, 0
+    for x in own:
+        while at and x not in steps[at]:
+            at = links[at]
+            length = longest[at]
+        if x in steps[at]:
+            at, length = steps[at][x], length + 1
+        out.append(length)
+    return out
+
+
 def shared_blocks(later: list[int], earlier: list[int], telling: set[int]) -> list[int]:
-    """Positions in ``later`` of the aligned blocks that hold a telling line."""
-    out, block, last = [], [], None
+    """Positions in ``later`` of the aligned blocks that hold a telling line. Telling
+    lines that the alignment leaves out, as they are repeated or stand in another order,
+    go with the longest stretch around them that ``earlier`` has as well."""
+    out, block, last = set(), [], None
     for match in [*patience(later, earlier), None]:
         if match is None or last is None or match != (last[0] + 1, last[1] + 1):
             if any(later[i] in telling for i in block):
-                out += block
+                out.update(block)
             block = []
         if match:
             block.append(match[0])
         last = match
-    return out
+    rest = [i for i, x in enumerate(later) if x in telling and i not in out]
+    if rest:
+        before = standing(later, earlier)
+        after = standing(later[::-1], earlier[::-1])[::-1]
+        edges = Counter()
+        for i in rest:
+            edges[i - before[i] + 1] += 1
+            edges[i + after[i]] -= 1
+        depth = np.cumsum([edges[i] for i in range(len(later))])
+        out.update(np.flatnonzero(depth).tolist())
+    return sorted(out)
 
 
 def _lines(long_words: int):
@@ -140,7 +202,8 @@ def shared_lines(docs: DataFrame, rare: int = 50, long_words: int = 8) -> DataFr
     A line is what stands between line feeds, compared byte by byte. It is telling if
     at most ``rare`` documents hold it or it has ``long_words`` words or more. A
     document is aligned with the first holder (smallest doc_id) of each of its telling
-    lines, and loses each aligned block of consecutive lines that holds one. Shorter
+    lines, and loses each aligned block of consecutive lines that holds one, and every
+    other occurrence of a telling line with the stretch around it that both have. Shorter
     lines that many documents hold go only as part of such a block. Empty lines do not
     interrupt a block; lines of white space alone tell nothing. Null and empty texts
     and rows without doc_id take no part. Rows that share a doc_id take nothing from

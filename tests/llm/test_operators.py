@@ -155,6 +155,35 @@ def test_patience():
     assert line_dedup.shared_blocks([1, 2, 3, 4, 5], [9, 2, 3, 8, 5], {3}) == [1, 2]
 
 
+def test_shared_blocks_against_brute_force():
+    assert line_dedup.shared_blocks([7, 5, 8, 5, 9], [1, 5, 2], {5}) == [1, 3]
+    assert line_dedup.shared_blocks([4, 5, 6, 1, 2, 3], [1, 2, 3, 4, 5, 6], {2, 5}) == [0, 1, 2, 3, 4, 5]
+    rng = random.Random(8)
+    for _ in range(500):
+        kinds = rng.randint(2, 12)
+        a, b = ([rng.randint(0, kinds) for _ in range(rng.randint(0, 16))] for _ in range(2))
+        if rng.random() < 0.5:  # passages in another order, some of them twice
+            parts = [b[i : i + 3] for i in range(0, len(b), 3)]
+            a = sum(rng.choices(parts, k=len(parts) + 1) if parts else [], [])
+        telling = {x for x in set(b) if rng.random() < 0.4}
+        runs, longest = set(), [0] * len(a)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                k = 0
+                while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k]:
+                    k += 1
+                    longest[i + k - 1] = max(longest[i + k - 1], k)
+                    if telling & set(a[i : i + k]):
+                        runs.update(range(i, i + k))
+        got = line_dedup.shared_blocks(a, b, telling)
+        assert {i for i, x in enumerate(a) if x in telling} <= set(got) <= runs
+        assert line_dedup.standing(a, b) == longest
+        edges = [(-1, -1), *line_dedup.patience(a, b), (len(a), len(b))]
+        assert not any(set(a[i + 1 : k]) & set(b[j + 1 : m]) for (i, j), (k, m) in zip(edges[:-1], edges[1:]))
+    many = list(range(20_000))  # all in reverse order: still about linear
+    assert line_dedup.shared_blocks(many[::-1], many, set(many)) == many
+
+
 def test_line_dedup(spark):
     a, b, c = "alpha one two", "beta three four", "gamma five six"
     texts = [(1, f"{a}\n\n{b}\nshort"), (2, f"new\n{a}\n{b}\nshort\nend"), (3, f"{c}\nshort"), (4, f"{a}\n\n{b}\nshort"), (5, "short"), (6, "short"), *ODD]
@@ -171,6 +200,13 @@ def test_line_dedup(spark):
     assert line_dedup.remove_shared_lines(frame.limit(0)).count() == 0
 
 
+def test_line_dedup_of_repeated_and_reordered_lines(spark):
+    long = [f"{x} " * 8 + x for x in "abcdef"]
+    texts = [(1, "\n".join(["p", *long, "q"])), (2, "\n".join(["h", long[0], "x", long[0], "y"])), (3, "\n".join([*long[3:], "new", *long[:3]]))]
+    got = {r.doc_id: (r.n_removed, r.text) for r in line_dedup.remove_shared_lines(documents(spark, texts)).collect()}
+    assert got == {1: (0, texts[0][1]), 2: (2, "h\nx\ny"), 3: (6, "new")}
+
+
 def test_language(spark):
     rng = random.Random(5)
     made = {"de": ["und", "schnell", "weiß", "nichtig"], "en": ["the", "quickly", "thing", "with"], "fr": ["les", "étaient", "vous", "chaude"]}
