@@ -207,6 +207,40 @@ def test_line_dedup_of_repeated_and_reordered_lines(spark):
     assert got == {1: (0, texts[0][1]), 2: (2, "h\nx\ny"), 3: (6, "new")}
 
 
+def test_line_dedup_of_many_copies_with_short_lines(spark):
+    verse = ["roses are red", "violets blue", " ", "sugar is sweet", "and so", "are you"]
+    texts = [(i, "\n".join(verse)) for i in range(8)] + [(20 + i, "yes\n\nno") for i in range(8)]
+    texts += [(40, "\n".join(["own", *verse[1:], "end", *verse[3:]])), (41, "yes\nno\nperhaps")]
+    got = {r.doc_id: r.text for r in line_dedup.remove_shared_lines(documents(spark, texts), rare=3).collect()}
+    assert [got[i] for i in range(8)] == [texts[0][1]] + [""] * 7
+    assert [got[20 + i] for i in range(8)] == ["yes\n\nno"] + [""] * 7
+    assert got[40] == "\n".join(["own", "end", *verse[3:]]) and got[41] == "yes\nno\nperhaps"
+
+
+def test_stretches_of_short_lines_against_brute_force(spark):
+    """Lines in a stretch of 8 words that an earlier text has go, nothing else."""
+    rng = random.Random(12)
+    kinds = ["a", "b b", "c c c", "d d d d", "e e e e e", " ", "f " * 9]
+    texts = [(i, "\n".join(rng.choices(kinds, k=rng.randint(1, 9)))) for i in range(120)]
+    got = {r.doc_id: set(r.removed) for r in line_dedup.shared_lines(documents(spark, texts), rare=0).collect()}
+    lines = [t.split("\n") for _, t in texts]
+    for i, own in enumerate(lines):
+        must, may = set(), set()
+        for other in lines[:i]:
+            if other == own and len([x for x in own if x.strip()]) > 1:
+                must.update(range(len(own)))
+            for p in range(len(own)):
+                for q in range(len(other)):
+                    k = 0
+                    while p + k < len(own) and q + k < len(other) and own[p + k] == other[q + k]:
+                        k += 1
+                        if sum(len(x.split()) for x in own[p : p + k]) >= 8:
+                            may.update(range(p, p + k))
+                            must.update(x for x in range(p, p + k) if own[x].strip())
+        may |= must
+        assert must <= got.get(i, set()) <= may
+
+
 def test_language(spark):
     rng = random.Random(5)
     made = {"de": ["und", "schnell", "weiß", "nichtig"], "en": ["the", "quickly", "thing", "with"], "fr": ["les", "étaient", "vous", "chaude"]}
