@@ -435,6 +435,33 @@ def test_licenses(spark):
     assert licenses.scan(documents(spark, [])).count() == 0
 
 
+def test_licenses_wrapped_over_lines(spark):
+    rng = random.Random(6)
+    filler, texts, want = [f"v{i}" for i in range(30)], [], {}
+    for n, (label, body) in enumerate(licenses.TEMPLATES):
+        words = body.split()
+        for width in (2, 5):
+            lines = [" ".join(words[i : i + width]) for i in range(0, len(words), width)]
+            texts.append((len(texts), "\n".join(["# " + x for x in [*filler, *lines, *filler]])))
+        spread = [x for w in words for x in (w, *filler)]  # the same words, far apart
+        texts.append((len(texts), "\n".join(spread)))
+    for _ in range(150):
+        pool = rng.choice(licenses.TEMPLATES)[1].split()
+        texts.append((len(texts), "".join(w + rng.choice(" \n") for w in rng.choices([*pool, *pool, *pool, "v1", "v2"], k=rng.randint(1, 60)))))
+    frame = documents(spark, texts)
+    for i, text in texts:
+        words = text.replace("#", "").split()
+        for n, (_, body) in enumerate(licenses.TEMPLATES if "\n" in text else ()):
+            need, span = set(body.split()), -(-len(body.split()) * 5 // 4)
+            best = max(len(need & set(words[k : k + span])) for k in range(len(words)))
+            if best >= 0.8 * len(need):
+                want[i, n] = best / len(need)
+    assert {(r.doc_id, r.template): r.containment for r in licenses.matching_windows(frame).collect()} == want
+    labels = {r.doc_id: r.labels for r in licenses.scan(frame).collect()}
+    for n, (label, _) in enumerate(licenses.TEMPLATES):
+        assert label in labels[3 * n].split(",") and label in labels[3 * n + 1].split(",") and labels[3 * n + 2] == ""
+
+
 def test_language_sample_stays_bounded_where_ids_repeat(spark, monkeypatch):
     monkeypatch.setattr(language_id, "train", lambda pieces, rounds: pieces)
     rows = [(None, f"some words {i}", "en") for i in range(40)] + [(7, f"quelques mots {i}", "fr") for i in range(40)]
