@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chat, language_id, licenses, near_dedup, token_counts, vector_search
+from . import chat, filter_audit, infill, language_id, licenses, near_dedup, ngram_join, token_counts, vector_search
 from .common import read
 from .decontaminate import contaminated
 from .line_dedup import remove_shared_lines
@@ -199,6 +199,86 @@ def op10(spark, folder):
     return licenses.scan(read(spark, folder, "documents"))
 
 
+INFILL_SQL = r"""
+with docs as (
+    select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as lines, sha256('7:' || doc_id) as h from documents
+),
+drawn as (select *, len(lines) as n, list_transform([1, 9, 17, 25], lambda i: cast('0x' || h[i:i + 7] as bigint)) as d from docs),
+placed as (
+    select *, least(d[1] % (n + 1), d[2] % (n + 1)) as low, greatest(d[1] % (n + 1), d[2] % (n + 1)) as high,
+        case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') then 'plain' when d[4] % 100 < 50 then 'spm' else 'psm' end as form from drawn
+),
+parts as (select *, array_to_string(lines[1:low], '') as p, array_to_string(lines[low + 1:high], '') as m, array_to_string(lines[high + 1:n], '') as s from placed)
+select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+    sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+    sha256(text) as restored_sha256
+from parts
+"""
+
+
+@query("op11_fill_in_middle", INFILL_SQL)
+def op11(spark, folder):
+    """Every text cut at two line ends and put in fill-in-the-middle order."""
+    made = infill.fill_in_middle(read(spark, folder, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(infill.restored(), 256).alias("restored_sha256"))
+
+
+JOIN_SQL = NEAR_SQL.split("groups as")[0].replace("80 * (", "85 * (") + """groups as (select doc_id, min(other) as least from reach group by doc_id),
+texts as (select doc_id, min(doc_id) over (partition by t) as first from (select doc_id, list_sort(list(s)) as t from shingles group by doc_id)),
+linked as (select a as doc_id, count(distinct y.first) as n_links from links join texts x on x.doc_id = a join texts y on y.doc_id = b where x.first <> y.first group by a)
+select d.doc_id, coalesce(n, 0) as n_shingles, least(coalesce(g.least, d.doc_id), d.doc_id) as component_id, coalesce(l.n_links, 0) as n_links
+from docs d left join sizes using (doc_id) left join groups g using (doc_id) left join linked l using (doc_id)
+"""
+
+
+@query("op12_ngram_join", JOIN_SQL)
+def op12(spark, folder):
+    """Documents alike in 85 % of their four-word shingles, by a prefix-tree join."""
+    return ngram_join.similar(read(spark, folder, "documents"), length=4, percent=85)
+
+
+AUDIT_SQL = r"""
+with texts as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+known as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by doc_id),
+flags as (
+    select doc_id, part, coalesce(good, false) as good, coalesce(toxic, false) as toxic,
+        {'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w), 'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text),
+         'D': regexp_matches(text, '[#$%&*|]'), 'E': doc_id > min(doc_id) over (partition by text)} as f
+    from texts left join known using (doc_id)
+),
+failed as (
+    select doc_id, part, good, toxic, (case when f.A then 'A' else '' end) || (case when f.B then 'B' else '' end) || (case when f.C then 'C' else '' end) || (case when f.D then 'D' else '' end) || (case when f.E then 'E' else '' end) as fails
+    from flags
+),
+cells as (select part, fails, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from failed group by all),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+orders as (
+    select a.x || b.x || c.x || d.x || e.x as filter_order from letters a, letters b, letters c, letters d, letters e
+    where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+),
+steps as (select filter_order, step, filter_order[step] as filter, filter_order[1:step - 1] as before from orders, (select unnest(range(1, 6)) as step)),
+walked as (
+    select part, filter_order, step, filter, n, good, toxic, fails, contains(fails, filter) as hit, translate(fails, before, '') <> fails as gone
+    from steps, cells
+),
+summed as (
+    select part, filter_order, cast(step as int) as step, filter, coalesce(sum(n) filter (not hit and not gone), 0) as kept, coalesce(sum(n) filter (hit and not gone), 0) as removed,
+        coalesce(sum(n) filter (hit and gone), 0) as redundant, coalesce(sum(n) filter (fails = filter), 0) as unique_fails,
+        coalesce(sum(good) filter (hit and not gone), 0) as good_lost, coalesce(sum(toxic) filter (hit and not gone), 0) as toxic_lost
+    from walked group by part, filter_order, step, filter
+)
+select part, filter_order, step, filter, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails,
+    cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, filter) as bigint) as shapley
+from summed
+"""
+
+
+@query("op13_filter_audit", AUDIT_SQL)
+def op13(spark, folder):
+    """Five filters in all 120 orders, for every language."""
+    return filter_audit.audit(filter_audit.cells(read(spark, folder, "documents"), read(spark, folder, "labels")))
+
+
 @query("pipeline")
 def pipeline(spark, folder):
     """Documents through all stages of the corpus pipeline."""
