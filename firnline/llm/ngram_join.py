@@ -165,10 +165,10 @@ def links_between(left: list[np.ndarray], right: list[np.ndarray], left_sizes: n
 def _joined(percent: int):
     def run(table: pa.Table) -> pa.Table:
         node, sizes = table.column("node").to_numpy(), table.column("n_shingles").to_numpy()
-        column = table.column("ordered").combine_chunks()
-        flat = column.flatten()
-        keys = np.empty(len(flat), [("holders", np.int64), ("member", np.int64)])
-        keys["holders"], keys["member"] = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        column = table.column("member").combine_chunks()
+        keys = np.empty(len(column.flatten()), [("holders", np.int64), ("member", np.int64)])
+        for name in keys.dtype.names:
+            keys[name] = table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
         # commonest first; a member that only one of these sets holds can be in no overlap
         _, place, counts = np.unique(keys, return_inverse=True, return_counts=True)
         lengths = column.value_lengths().to_numpy()
@@ -217,23 +217,24 @@ def _survivors(classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _ordered(left: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """node, n_shingles and ordered: members that another class holds too, as (holders,
-    member) in the global order, and alone, the number of members left out."""
+    """node, n_shingles, the members that another class holds too in the global order,
+    their holders, and alone, the number of members left out."""
     held = texts.join(left.select("doc_id").distinct(), "doc_id", "left_semi")
     # rows that repeat a doc_id with another text fall out by their digest
     sets = held.select("text").mapInArrow(_members(length), "digest binary, members array<long>").groupBy("digest").agg(F.first("members").alias("members"))
-    sets = sets.join(left.select("node", "n_shingles", "digest"), "digest")
-    members = sets.select("node", "n_shingles", F.explode("members").alias("member"))
+    members = sets.join(left.select("node", "digest"), "digest").select("node", F.explode("members").alias("member"))
     holders = members.groupBy("member").agg(F.count("*").alias("holders")).where("holders > 1")
-    ordered = F.array_sort(F.collect_list(F.struct("holders", "member")))
-    return members.join(holders, "member").groupBy("node", "n_shingles").agg(ordered.alias("ordered")).withColumn("alone", F.col("n_shingles") - F.size("ordered"))
+    order = F.array_sort(F.collect_list(F.struct("holders", "member")))
+    ordered = members.join(holders, "member").groupBy("node").agg(order.alias("m")).select("node", "m.holders", "m.member")
+    return ordered.join(left.select("node", "n_shingles"), "node").withColumn("alone", F.col("n_shingles") - F.size("member"))
 
 
 def _prefixes(ordered: DataFrame, percent: int) -> DataFrame:
-    """(node, n_shingles, holders, member) of prefix members that stand in another prefix
+    """(node, n_shingles, holders, member, hub) of prefix members that stand in another prefix
     too. Members that no other class holds come first in the order."""
     length = may_lack(F.col("n_shingles"), percent) + 1 - F.col("alone")
-    first = ordered.select("node", "n_shingles", F.explode(F.slice("ordered", 1, F.greatest(length, F.lit(0)).cast("int"))).alias("m"))
+    start = [F.slice(c, 1, F.greatest(length, F.lit(0)).cast("int")) for c in ("holders", "member")]
+    first = ordered.select("node", "n_shingles", F.explode(F.arrays_zip(start[0].alias("holders"), start[1].alias("member"))).alias("m"))
     rows = first.select("node", "n_shingles", "m.*")
     shared = rows.groupBy("member").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("member", "hub")
     return rows.join(shared, "member")
@@ -291,8 +292,8 @@ def similar(docs: DataFrame, length: int = 5, percent: int = 80) -> DataFrame:
     placed = cut(_blocks(prefixes, groups))
     meetings = cut(_meetings(prefixes, placed, percent))
     sides = meetings.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    rows = placed.join(sides, "block").join(ordered.select("node", "ordered"), "node")
-    found = cut(rows.select("i", "j", "block", "node", "n_shingles", "ordered").groupBy("i", "j").applyInArrow(_joined(percent), "a long, b long, n long"))
+    rows = placed.join(sides, "block").join(ordered.select("node", "holders", "member"), "node")
+    found = cut(rows.select("i", "j", "block", "node", "n_shingles", "holders", "member").groupBy("i", "j").applyInArrow(_joined(percent), "a long, b long, n long"))
 
     joined = components(found.where("b is not null").select("a", "b"))
     links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
