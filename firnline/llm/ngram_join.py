@@ -42,6 +42,10 @@ from .near_dedup import shingle_sets
 BLOCK, BLOCK_MEMBERS = 256, 1 << 19
 #: A class sends 1 / MARGIN of its members beyond those that a partner may lack.
 MARGIN = 20
+#: Hash buckets of doc_ids by which texts are sieved before they are shuffled: the number
+#: of rows that are broadcast has this bound, whatever the input. Where nearly all buckets
+#: are taken the sieve lets every text through and the join after it decides alone.
+BUCKETS = 1 << 20
 #: Cells of the membership table that a walk holds at once.
 _CELLS = 1 << 23
 
@@ -219,7 +223,10 @@ def _survivors(classes: DataFrame, percent: int) -> DataFrame:
 def _ordered(left: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     """node, n_shingles, the members that another class holds too in the global order,
     their holders, and alone, the number of members left out."""
-    held = texts.join(left.select("doc_id").distinct(), "doc_id", "left_semi")
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).alias("bucket")
+    wanted = F.broadcast(left.select(bucket).distinct())  # at most BUCKETS rows
+    sieved = texts.select("*", bucket).join(wanted, "bucket", "left_semi")
+    held = sieved.join(left.select("doc_id").distinct(), "doc_id", "left_semi")
     # rows that repeat a doc_id with another text fall out by their digest
     sets = held.select("text").mapInArrow(_members(length), "digest binary, members array<long>").groupBy("digest").agg(F.first("members").alias("members"))
     members = sets.join(left.select("node", "digest"), "digest").select("node", F.explode("members").alias("member"))
