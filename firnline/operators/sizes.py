@@ -12,9 +12,12 @@ BROADCAST_ROWS = 10_000
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, computed once and stored in the shared checkpoint folder, with a broadcast
-    hint if it has at most ``limit`` rows. Meant for aggregates with one row per class,
-    split or station, whose number only the data know."""
+    """``df``, computed once. Up to ``limit`` rows come back as a local table with a
+    broadcast hint, from the same job that finds out their number; a larger table is
+    stored in the shared checkpoint folder and joined as Spark sees fit. Meant for
+    aggregates with one row per class, split or station, whose number only the data know."""
+    head = df.limit(limit + 1).toArrow()
+    if head.num_rows <= limit:
+        return F.broadcast(df.sparkSession.createDataFrame(head, df.schema))
     enable_checkpoints(df.sparkSession)
-    stored = df.checkpoint()
-    return F.broadcast(stored) if stored.limit(limit + 1).count() <= limit else stored
+    return df.checkpoint()

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from firnline.operators import explore, ordering
-from firnline.operators.quantiles import exact_quantiles
+from firnline.operators.quantiles import brackets, exact_quantiles
 
 PROBABILITIES = [0.0, 0.1, 0.25, 0.5, 0.9, 0.999, 1.0]
 
@@ -16,22 +17,45 @@ def test_quantiles_equal_numpy(spark):
     rows += [("ties", float(generator.randint(0, 3))) for _ in range(700)]
     rows += [("tiny", 4.0), ("tiny", None), ("pair", 1.0), ("pair", 2.0), ("none", None)]
     df = spark.createDataFrame(rows, "k string, v double")
-    # a small accuracy makes the large group take the bracketed path
-    got = {r.k: r for r in exact_quantiles(df, ["k"], "v", PROBABILITIES, accuracy=500).collect()}
-    assert set(got) == {"hot", "ties", "tiny", "pair", "none"}
-    assert got["none"].n == 0 and list(got["none"].quantiles) == [None] * len(PROBABILITIES)
-    for k in ("hot", "ties", "tiny", "pair"):
-        want = np.quantile([v for key, v in rows if key == k and v is not None], PROBABILITIES)
-        assert np.allclose(got[k].quantiles, want, atol=1e-12), k
+    # a small slice makes the large groups take several rounds of histograms
+    for most, bins in ((4096, 1024), (40, 16), (1, 4)):
+        got = {r.k: r for r in exact_quantiles(df, ["k"], "v", PROBABILITIES, most, bins).collect()}
+        assert set(got) == {"hot", "ties", "tiny", "pair", "none"}
+        assert got["none"].n == 0 and list(got["none"].quantiles) == [None] * len(PROBABILITIES)
+        for k in ("hot", "ties", "tiny", "pair"):
+            want = np.quantile([v for key, v in rows if key == k and v is not None], PROBABILITIES)
+            assert np.allclose(got[k].quantiles, want, atol=1e-12), k
 
 
 def test_heavy_ties_in_a_large_group(spark):
     values = [0.0] * 6000 + [1.0] * 3000 + [float(i) for i in range(2, 1002)]
     df = spark.createDataFrame([(v,) for v in values], "v double")
-    row = exact_quantiles(df, [], "v", [0.5, 0.6, 0.75, 0.95], accuracy=300).first()
+    row = exact_quantiles(df, [], "v", [0.5, 0.6, 0.75, 0.95], 30, 8).first()
     assert np.allclose(row.quantiles, np.quantile(values, [0.5, 0.6, 0.75, 0.95]))
 
 
+@pytest.mark.parametrize("shape", ["outliers", "powers", "near", "infinite", "signs"])
+def test_brackets_stay_small_for_any_distribution(spark, shape):
+    generator = random.Random(6)
+    values = {
+        "outliers": [generator.random() for _ in range(3000)] + [1e300, -1e300],
+        "powers": [generator.choice([-1, 1]) * 2.0 ** generator.uniform(-1000, 1000) for _ in range(3000)],
+        "near": [1e9 + i * 2.0**-20 for i in range(3000)],
+        "infinite": [generator.gauss(0, 1e-200) for _ in range(3000)] + [float("inf"), float("-inf")] * 20,
+        "signs": [-1.7e308, 1.7e308] * 500 + [generator.choice([0.0, 5e-324, -5e-324]) for _ in range(2000)],
+    }[shape]
+    rows = spark.createDataFrame([("a", v) for v in values] + [("b", 1.0)], "k string, __v double").repartition(3)
+    state = brackets(rows, ["k"], PROBABILITIES, 20, 32).collect()
+    assert all(r.inside <= 20 or r.low == r.high for r in state)  # what the last window orders
+    ordered = sorted(values)
+    for r in state:
+        if r.k == "a":
+            assert ordered[r.before] == r.low and ordered[r.before + r.inside - 1] == r.high
+            assert all(r.before <= rank < r.before + r.inside for rank in r.ranks)
+    ranks = {rank for r in state if r.k == "a" for rank in r.ranks}
+    assert ranks == {f((len(values) - 1) * p) for p in PROBABILITIES for f in (math.floor, math.ceil)}
+
+
 def test_ranks_are_exact_and_spread(spark):
     rows = [(("hot" if i % 3 else f"g{i % 5}"), i) for i in range(3000)]
     df = spark.createDataFrame(rows, "g string, i int")
