@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import math
+import uuid
+from dataclasses import dataclass, field, replace
 
-from pyspark import StorageLevel
+from pyspark import SparkContext, StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, SQLTransformer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.feature import Imputer, SQLTransformer, VectorAssembler, VectorSlicer
+from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor, GBTRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ MODELS = FOREST_MODELS + BOOSTING_MODELS
 
 #: Boosting rounds without a lower validation error before a booster stops.
 PATIENCE = 25
+#: Boosting rounds after which the predictions so far are stored in the shared folder.
+STAGE = 25
+#: Rows to a partition of a learner's input, and the least number of partitions: the
+#: layout follows the data, so a seed gives the same fit on every cluster.
+ROWS_EACH, LEAST_PARTITIONS = 250_000, 8
 
 VARIANTS = {
     "main": MAIN_FEATURES,
@@ -69,7 +76,7 @@ def backend_defaults(model: str, seed: int) -> dict:
     check_model(model)
     if model in FOREST_MODELS:
         return {"seed": seed, "featureSubsetStrategy": "all", "cacheNodeIds": False}
-    return {"seed": seed, "lossType": "squared"}
+    return {"seed": seed}
 
 
 def mllib_parameters(params: dict) -> dict:
@@ -81,6 +88,11 @@ def mllib_parameters(params: dict) -> dict:
     return {name: int(value) if name in INTEGER_PARAMETERS else value for name, value in named.items()}
 
 
+def stops_at(errors: list[float], patience: int) -> bool:
+    """Whether ``patience`` rounds in a row brought no error below the lowest one."""
+    return len(errors) - rounds_kept(errors, patience) >= patience
+
+
 def rounds_kept(errors: list[float], patience: int) -> int:
     """Rounds up to the lowest error seen before ``patience`` rounds in a row brought
     no lower one; ties keep the earlier round."""
@@ -121,8 +133,9 @@ def encode(train: DataFrame, others: list[DataFrame], encoder: str, target: str,
 
 
 def arrange(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Fixed partitions and order, so that a seed reproduces a fit."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Fixed partitions and order, so that a seed reproduces a fit; their number follows
+    the rows and not the cluster."""
+    n = max(LEAST_PARTITIONS, math.ceil(df.count() / ROWS_EACH))
     return df.repartition(n, *keys).sortWithinPartitions(*keys)
 
 
@@ -138,12 +151,108 @@ def assembly(features: list[str], nullable: list[str]) -> list:
     return stages
 
 
-def regressor(model: str, params: dict, target: str, seed: int):
-    options = {**backend_defaults(model, seed), **mllib_parameters(params)}
-    common = {"featuresCol": "features", "labelCol": target, "predictionCol": "prediction"}
-    if model in FOREST_MODELS:
-        return RandomForestRegressor(**common, **options)
-    return GBTRegressor(**common, **options)
+def forest(params: dict, target: str, seed: int) -> RandomForestRegressor:
+    options = {**backend_defaults("rf", seed), **mllib_parameters(params)}
+    return RandomForestRegressor(featuresCol="features", labelCol=target, predictionCol="prediction", **options)
+
+
+@dataclass(frozen=True)
+class Assembled:
+    """A learner's input, laid out once and shared by all fits on it: features, target
+    and is_validation. ``fills`` turns other rows into the same vectors."""
+
+    vectors: DataFrame
+    fills: PipelineModel
+    target: str
+
+    def part(self, validation: bool) -> DataFrame:
+        return self.vectors.where(F.col("is_validation") == validation).drop("is_validation")
+
+    def only(self, names: list[str]) -> "Assembled":
+        """The same rows with some of the features, nothing being laid out again."""
+        inputs = [x for x in self.fills.stages if isinstance(x, VectorAssembler)][-1].getInputCols()
+        wanted = [i for i, c in enumerate(inputs) if c.removesuffix("_filled").removesuffix("_missing") in names]
+        slicer = VectorSlicer(inputCol="every_feature", outputCol="features", indices=wanted)
+        return replace(self, vectors=slicer.transform(self.vectors.withColumnRenamed("features", "every_feature")).drop("every_feature"))
+
+    def release(self) -> None:
+        self.vectors.unpersist()
+
+
+def assemble(train: DataFrame, features: list[str], target: str, keys: list[str], validation: DataFrame | None = None, nullable: list[str] | None = None) -> Assembled:
+    """Training and validation rows as vectors, shuffled and sorted once and kept. Fill
+    values come from training rows only."""
+    enable_checkpoints(train.sparkSession)
+    columns = [*keys, *features, target]
+    rows = train.select(*columns).withColumn("is_validation", F.lit(False))
+    if validation is not None:
+        rows = rows.unionByName(validation.select(*columns).withColumn("is_validation", F.lit(True)))
+    rows = arrange(rows, keys).persist(StorageLevel.MEMORY_AND_DISK)
+    fills = Pipeline(stages=assembly(features, nullable or [])).fit(rows.where(~F.col("is_validation")))
+    vectors = fills.transform(rows).select("features", target, "is_validation").persist(StorageLevel.MEMORY_AND_DISK)
+    vectors.count()
+    rows.unpersist()
+    return Assembled(vectors, fills, target)
+
+
+def boost(data: Assembled, params: dict, seed: int, patience: int | None = None) -> GBTRegressionModel:
+    """Gradient boosting for squared error, one tree on the residuals at a time: the first
+    tree counts whole, each later one ``stepSize`` times. The predictions so far are kept
+    beside the vectors and stored every ``STAGE`` rounds; no round is fitted twice.
+
+    With ``patience`` the validation error is read after every round; boosting stops when
+    that many rounds in a row brought no lower one and keeps the trees up to the best."""
+    named = mllib_parameters(params)
+    rounds, step, rate = named.pop("maxIter", 20), named.pop("stepSize", 0.1), named.pop("subsamplingRate", 1.0)
+    target, margin = F.col(data.target), F.col("margin")
+    stored = state = data.vectors.withColumn("margin", F.lit(0.0))
+    trees, errors = [], []
+    while len(trees) < rounds:
+        rows = state.where(~F.col("is_validation")).select("features", (target - margin).alias("residual"))
+        if rate < 1:
+            rows = rows.sample(False, rate, seed + len(trees))
+        learner = DecisionTreeRegressor(featuresCol="features", labelCol="residual", predictionCol="step", seed=seed + len(trees), **named)
+        trees.append(learner.fit(rows))
+        weights = [1.0] + [step] * (len(trees) - 1)
+        new = (len(trees) - 1) % STAGE + 1  # trees since the stored predictions, scored in one expression
+        since = ensemble(trees[-new:], weights[-new:], data.target).transform(stored)
+        state = since.withColumn("margin", margin + F.col("prediction")).drop("prediction")
+        if new == STAGE:
+            stored = state = state.checkpoint()
+        if patience is not None:
+            error = target - margin
+            errors.append(state.where("is_validation").agg(F.avg(error * error)).first()[0])
+            if stops_at(errors, patience):
+                break
+    if patience is not None:
+        trees = trees[: rounds_kept(errors, patience)]
+    return ensemble(trees, [1.0] + [step] * (len(trees) - 1), data.target)
+
+
+def ensemble(trees: list[DecisionTreeRegressionModel], weights: list[float], target: str) -> GBTRegressionModel:
+    """Trees and their weights as MLlib's boosted model, which saves and scores like any."""
+    gateway = SparkContext._active_spark_context._gateway
+    regression = gateway.jvm.org.apache.spark.ml.regression
+    members = gateway.new_array(regression.DecisionTreeRegressionModel, len(trees))
+    numbers = gateway.new_array(gateway.jvm.double, len(trees))
+    for i, (tree, weight) in enumerate(zip(trees, weights)):
+        members[i], numbers[i] = tree._java_obj, float(weight)
+    model = GBTRegressionModel(regression.GBTRegressionModel(f"boosted_{uuid.uuid4().hex[:12]}", members, numbers))
+    model._set(featuresCol="features", labelCol=target, predictionCol="prediction")
+    model._transfer_params_to_java()
+    return model
+
+
+def fit_assembled(data: Assembled, model: str, params: dict, seed: int = 10, patience: int | None = None):
+    """One model on rows that are laid out already."""
+    if check_model(model) in BOOSTING_MODELS:
+        return boost(data, params, seed, patience)
+    return forest(params, data.target, seed).fit(data.part(False))
+
+
+def score_assembled(data: Assembled, fitted) -> dict:
+    """Scores on the validation rows."""
+    return evaluate(fitted.transform(data.part(True)), data.target)
 
 
 def fit(
@@ -158,37 +267,23 @@ def fit(
     nullable: list[str] | None = None,
     patience: int = PATIENCE,
 ) -> PipelineModel:
-    """Fit one model. With ``validation`` rows a booster keeps the trees up to the
-    round ``rounds_kept`` picks from the validation errors of all rounds; their number
-    is ``best_iteration``. Rounds do not depend on later ones, so fitting the kept
-    number again gives the same trees."""
-    check_model(model)
-    enable_checkpoints(train.sparkSession)
-    columns = [*keys, *features, target]
-    learner = regressor(model, params, target, seed)
-    rows = train.select(*columns).withColumn("is_validation", F.lit(False))
-    stops_early = validation is not None and model in BOOSTING_MODELS
-    if stops_early:
-        rows = rows.unionByName(validation.select(*columns).withColumn("is_validation", F.lit(True)))
-    # the learner passes over its input several times; lay it out once
-    laid = arrange(rows, keys).persist(StorageLevel.MEMORY_AND_DISK)
+    """Fit one model. With ``validation`` rows a booster stops as ``boost`` says; the
+    number of trees it keeps is ``best_iteration``."""
+    stops_early = validation is not None and check_model(model) in BOOSTING_MODELS
+    data = assemble(train, features, target, keys, validation if stops_early else None, nullable)
     try:
-        training = laid.where(~F.col("is_validation"))  # fill values come from training rows only
-        fills = Pipeline(stages=assembly(features, nullable or [])).fit(training)
-        vectors = fills.transform(laid).select("features", target, "is_validation")
-        fitted = learner.fit(vectors.where(~F.col("is_validation")))
-        if stops_early:
-            kept = rounds_kept(fitted.evaluateEachIteration(vectors.where("is_validation"), "squared"), patience)
-            if kept < fitted.getNumTrees:
-                fitted = learner.copy({learner.maxIter: kept}).fit(vectors.where(~F.col("is_validation")))
+        fitted = fit_assembled(data, model, params, seed, patience if stops_early else None)
     finally:
-        laid.unpersist()
-    return PipelineModel(stages=[*fills.stages, fitted])
+        data.release()
+    return PipelineModel(stages=[*data.fills.stages, fitted])
+
+
+def rounds_of(fitted) -> int | None:
+    return fitted.getNumTrees if isinstance(fitted, GBTRegressionModel) else None
 
 
 def best_iteration(model: PipelineModel) -> int | None:
-    last = model.stages[-1]
-    return last.getNumTrees if last.__class__.__name__.startswith("GBT") else None
+    return rounds_of(model.stages[-1])
 
 
 def predict(model: PipelineModel, df: DataFrame, name: str = "prediction") -> DataFrame:

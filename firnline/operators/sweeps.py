@@ -76,7 +76,8 @@ def sweep(
 ) -> list[dict]:
     """Every (variant, encoder, model): default run, or ``n_trials`` draws of
     which the one with the lowest RMSE is kept. ``fixed`` overrides drawn values
-    (a budget on trees, say). Encoded rows are cached per (variant, encoder)."""
+    (a budget on trees, say). Rows are encoded, filled and laid out as vectors once per
+    (variant, encoder); every model and trial reads the same table."""
     if mode not in ("default", "tune"):
         raise ValueError(f"Unknown mode: {mode}. Available: ['default', 'tune']")
     seed, patience = int(config.settings["seed"]), int(config.settings.get("early_stopping_rounds", learn.PATIENCE))
@@ -84,23 +85,21 @@ def sweep(
     for variant in variants:
         for encoder in encoders:
             data = prepare(train, [validation], variant, encoder, target, keys, seed)
-            columns = [*keys, *data.features, target]
-            rows, held = data.train.select(*columns).persist(), data.others[0].select(*columns).persist()
-            cached = learn.Encoded(rows, [held], data.features, keys)
+            usable = [c for c in (nullable or []) if c in data.features]
+            shared = learn.assemble(data.train, data.features, target, keys, data.others[0], usable)
             try:
                 for model in models:
                     trials = [{}] if mode == "default" else draw_trials(config, model, n_trials, seed)
                     trials = [{**t, **(fixed or {})} for t in trials]
 
-                    def run(params, model=model, cached=cached):
-                        usable = [c for c in (nullable or []) if c in cached.features]
-                        return learn.train_and_evaluate(cached, target, model, params, seed, usable, patience), params
+                    def run(params, model=model, shared=shared):
+                        fitted = learn.fit_assembled(shared, model, params, seed, patience)
+                        return {**learn.score_assembled(shared, fitted), "best_iteration": learn.rounds_of(fitted)}, params
 
                     scores, params = min(in_parallel(run, trials, parallelism), key=lambda x: x[0]["rmse"])
                     results.append(record(model, variant, encoder, mode, scores, params, seed, timestamp))
             finally:
-                rows.unpersist()
-                held.unpersist()
+                shared.release()
     return results
 
 
@@ -121,20 +120,19 @@ def lag_sweep(train: DataFrame, validation: DataFrame, target: str, keys: list[s
     names = {lag_name(c, w) for c in ("PRECIPITATION", "TAVG") for w in windows}
     numeric = list(learn.VARIANTS["main"])
     data = learn.encode(train, [validation], "target", target, [*numeric, *sorted(names)], keys, seed)
-    rows, held = data.train.persist(), data.others[0].persist()
+    # one layout with every window's lags and their fill values; a window is a slice of it
+    shared = learn.assemble(data.train, data.features, target, keys, data.others[0], [*sorted(names), "Latitude", "Longitude"])
+    common = [c for c in data.features if c not in names]
 
     def run(w: int) -> dict:
-        lags = [lag_name("PRECIPITATION", w), lag_name("TAVG", w)]
-        features = [c for c in data.features if c not in names] + lags
-        nullable = [*lags, "Latitude", "Longitude"]
-        scores = learn.train_and_evaluate(learn.Encoded(rows, [held], features, keys), target, model, params, seed, nullable)
+        window = shared.only([*common, lag_name("PRECIPITATION", w), lag_name("TAVG", w)])
+        scores = learn.score_assembled(window, learn.fit_assembled(window, model, params, seed, learn.PATIENCE))
         return {"lag": w, "rmse": scores["rmse"], "r2": scores["r2"], "mbe": scores["mbe"]}
 
     try:
         return in_parallel(run, windows, parallelism)
     finally:
-        rows.unpersist()
-        held.unpersist()
+        shared.release()
 
 
 def learning_curve(df: DataFrame, target: str, keys: list[str], unit: list[str], model: str, params: dict, seed: int = 10, parts: int = 8, nullable: list[str] | None = None, parallelism: int = 2) -> list[dict]:

@@ -1,14 +1,17 @@
 """Splits and encoders (M1 to M7), learning (M8 to M18) and stored results
 (S9 to S11).
 
-Learning queries run over all station-days. Tree counts and depths are set small
-so that a query takes seconds; the functions take any budget. SQL knows no forest, so
+Learning queries run over all station-days; the functions take any budget. Forests that
+are fitted once have fixed parameters, sweeps draw from a search space for MLlib's
+learners (``config/tree_space.json``), boosting is asked for 1,500 rounds and stops by
+patience. SQL knows no forest, so
 beside each query with scores stands one with what is determined in its result (rows,
 steps, grids, baselines, regressions), taken from the same run and compared with SQL.
 """
 
 from __future__ import annotations
 
+import os
 import re
 
 from pyspark.sql import Window
@@ -28,7 +31,8 @@ KEYS = ["Station_Name", "Date"]
 GEO = ["Latitude", "Longitude"]
 SEED = 10
 FOREST = {"n_estimators": 10, "max_depth": 6, "min_samples_leaf": 5}
-BOOSTED = {"num_boost_round": 60, "max_depth": 4, "learning_rate": 0.3}
+BOOSTED = {"num_boost_round": 1500, "max_depth": 5, "learning_rate": 0.3}
+TREE_SPACE = os.path.join(os.path.dirname(os.path.dirname(__file__)), "config", "tree_space.json")
 CLIMATE = ["TAVG_lag_7d", "PRECIPITATION_lag_7d", "TAVG_lag_14d", "PRECIPITATION_lag_14d"]
 
 
@@ -225,8 +229,8 @@ def m10_rows(t):
 def _sweep(t, **options):
     rows = _split(t, t.located(t.clean()))
     train, val, _ = _parts(rows)
-    settings = {"variants": list(learn.VARIANTS), "encoders": list(encoders.ENCODERS), "models": ["rf"], "n_trials": 2, "timestamp": "20250101_000000", "nullable": [*CLIMATE, *GEO], "fixed": {"n_estimators": 5, "max_depth": 5}}
-    return sweeps.sweep(train, val, "Snow_Density", KEYS, readers.load_search_space(), **{**settings, **options})
+    settings = {"variants": list(learn.VARIANTS), "encoders": list(encoders.ENCODERS), "models": ["rf"], "n_trials": 3, "timestamp": "20250101_000000", "nullable": [*CLIMATE, *GEO]}
+    return sweeps.sweep(train, val, "Snow_Density", KEYS, readers.load_search_space(TREE_SPACE), **{**settings, **options})
 
 
 @query("m11_tuning_sweep")
@@ -274,7 +278,7 @@ def m13(t):
     windows = list(range(1, 31))
     rows = _split(t, t.located(t.clean(windows)))
     train, val, _ = _parts(rows)
-    results = sweeps.lag_sweep(train, val, "Snow_Density", KEYS, windows, "rf", {"n_estimators": 3, "max_depth": 4}, SEED, 4)
+    results = sweeps.lag_sweep(train, val, "Snow_Density", KEYS, windows, "rf", FOREST, SEED, 4)
     best = min(results, key=lambda x: (x["rmse"], x["lag"]))["lag"]
     return _scores(t, [{**x, "best": x["lag"] == best} for x in results])
 

@@ -88,6 +88,32 @@ def test_early_stopping_keeps_the_best_of_all_rounds(days):
     assert learn.evaluate(learn.predict(kept, held), "Snow_Density")["rmse"] == pytest.approx(min(errors) ** 0.5, rel=1e-9)
 
 
+def test_boosting_fits_at_most_patience_rounds_beyond_the_best(days, monkeypatch):
+    train, val = parts(days)
+    data = sweeps.prepare(train, [val], "main", "onehot", "Snow_Density", KEYS, 10)
+    shared = learn.assemble(data.train, data.features, "Snow_Density", KEYS, data.others[0], ["Latitude"])
+    fits, fit = [], learn.DecisionTreeRegressor.fit
+    monkeypatch.setattr(learn.DecisionTreeRegressor, "fit", lambda self, rows: fits.append(1) or fit(self, rows))
+    fitted = learn.fit_assembled(shared, "xgboost", {"num_boost_round": 1500, "max_depth": 3, "eta": 0.5, "subsample": 0.8}, 10, 6)
+    assert len(fits) == fitted.getNumTrees + 6 < 100
+    errors = fitted.evaluateEachIteration(shared.part(True), "squared")
+    assert errors.index(min(errors)) == len(errors) - 1  # the best round is the last one kept
+    assert fitted.treeWeights == [1.0] + [0.5] * (len(errors) - 1)
+    assert learn.score_assembled(shared, fitted)["rmse"] == pytest.approx(min(errors) ** 0.5, rel=1e-9)
+    shared.release()
+
+
+def test_one_layout_serves_all_windows(days):
+    train, val = parts(days)
+    data = sweeps.prepare(train, [val], "climate_7d", "onehot", "Snow_Density", KEYS, 10)
+    lags = ["TAVG_lag_7d", "PRECIPITATION_lag_7d"]
+    shared = learn.assemble(data.train, data.features, "Snow_Density", KEYS, data.others[0], ["Latitude", *lags])
+    for names in (lags[:1], ["DOWY", "Latitude"], data.features):
+        own = learn.assemble(data.train, names, "Snow_Density", KEYS, data.others[0], [c for c in ("Latitude", *lags) if c in names])
+        want, got = ([(r.Snow_Density, sorted(r.features.toArray().tolist())) for r in x.vectors.collect()] for x in (own, shared.only(names)))
+        assert sorted(got) == sorted(want)
+
+
 def test_search_space_names_settings_that_take_effect():
     config = readers.load_search_space()
     for model in config.models:
