@@ -43,52 +43,69 @@ def one_hot(df: DataFrame, column: str, labels=CLASS_LABELS) -> DataFrame:
 # -- target encoding -------------------------------------------------------------
 
 
-def _shrunk(n: Column, total: Column, squares: Column, all_n: Column, all_total: Column, all_squares: Column) -> Column:
+#: Rows, mean and squared deviations from it: such states merge without ever taking a
+#: small difference of two large sums.
+_MOMENTS = "struct<n:double,mean:double,m2:double>"
+
+
+def _moments(y: str) -> Column:
+    v = F.col(y).cast("double")
+    return F.struct(F.count(v).cast("double").alias("n"), F.coalesce(F.avg(v), F.lit(0.0)).alias("mean"), F.coalesce(F.var_pop(v) * F.count(v), F.lit(0.0)).alias("m2")).cast(_MOMENTS)
+
+
+def _merged(parts: Column) -> Column:
+    """One state for an array of states."""
+    none = F.struct(*[F.lit(0.0).alias(c) for c in ("n", "mean", "m2")]).cast(_MOMENTS)
+
+    def add(a: Column, b: Column) -> Column:
+        n, apart = a["n"] + b["n"], b["mean"] - a["mean"]
+        share = F.coalesce(F.try_divide(b["n"], n), F.lit(0.0))
+        return F.struct(n.alias("n"), (a["mean"] + apart * share).alias("mean"), (a["m2"] + b["m2"] + apart * apart * a["n"] * share).alias("m2")).cast(_MOMENTS)
+
+    return F.aggregate(parts, none, add)
+
+
+def _shrunk(own: Column, every: Column) -> Column:
     """Class mean pulled towards the overall mean, weighted by how much of the
     variance lies between classes (empirical Bayes). An empty class, or one where
     the weight is undefined, gets the overall mean."""
-    mean = F.try_divide(all_total, all_n)
-    variance = F.greatest(F.try_divide(all_squares, all_n) - mean * mean, F.lit(0.0))
-    class_mean = F.try_divide(total, n)
-    class_variance = F.greatest(F.try_divide(squares, n) - class_mean * class_mean, F.lit(0.0))
-    weight = F.try_divide(n * variance, n * variance + class_variance)
+    mean, class_mean = (F.when(x["n"] > 0, x["mean"]) for x in (every, own))
+    spread = own["n"] * F.try_divide(every["m2"], every["n"])
+    weight = F.try_divide(spread, spread + F.try_divide(own["m2"], own["n"]))
     return F.coalesce(weight * class_mean + (1 - weight) * mean, mean)
 
 
-def _class_sums(df: DataFrame, column: str, y: str, extra: list[Column]) -> DataFrame:
+def _class_sums(df: DataFrame, column: str, y: str) -> DataFrame:
     v = F.col(y).cast("double")
-    return df.groupBy(column, *extra).agg(F.count(v).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q"))
+    return df.groupBy(column).agg(F.count(v).alias("n"), F.sum(v).alias("s"))
 
 
 def target_encoding(train: DataFrame, column: str, y: str) -> DataFrame:
     """Encoding table fitted on all of ``train``: class, ``encoded``, and the
     overall mean ``fallback`` for classes never seen."""
-    sums = _class_sums(train, column, y, [])
+    both = train.rollup(column).agg(_moments(y).alias("own"), F.grouping(column).alias("overall"))  # classes and their total in one pass
     every = Window.partitionBy(F.lit(0))  # one row per class
-    total = {c: F.sum(c).over(every) for c in ("n", "s", "q")}
-    return sums.select(
-        column,
-        _shrunk(F.col("n"), F.col("s"), F.col("q"), total["n"], total["s"], total["q"]).alias("encoded"),
-        (total["s"] / total["n"]).alias("fallback"),
-    )
+    told = both.withColumn("every", F.max(F.when(F.col("overall") == 1, F.col("own"))).over(every)).where("overall = 0")
+    return told.select(column, _shrunk(F.col("own"), F.col("every")).alias("encoded"), F.when(F.col("every.n") > 0, F.col("every.mean")).alias("fallback"))
 
 
 def cross_fitted_target_encoding(train: DataFrame, column: str, y: str, keys: list[str], seed: int = 10, folds: int = 5, name: str = "encoded") -> DataFrame:
-    """``train`` with every row encoded from the other folds. Sums of the other
-    folds are the totals minus the own fold's, so one aggregate serves all folds.
-    Folds come from the hashed row key."""
-    fold = hash_bucket(keys, seed, folds)
-    rows = train.withColumn("__fold", fold)
-    sums = _class_sums(rows, column, y, [F.col("__fold")])
+    """``train`` with every row encoded from the other folds: the states of the folds, of
+    a class and of all classes, come from one aggregate, and those of the other folds
+    are merged. Folds come from the hashed row key."""
+    rows = train.withColumn("__fold", hash_bucket(keys, seed, folds))
+    states = rows.rollup("__fold", column).agg(_moments(y).alias("state"), F.grouping_id().alias("level"))
+    states = broadcast_if_small(states.where("level < 2"))  # by fold and class, and by fold
+    held = F.struct(F.col("__fold").alias("fold"), F.col("state"))
+    of_fold = states.where("level = 1").agg(F.collect_list(held).alias("every"))  # one row, a state per fold
+    of_class = states.where("level = 0").groupBy(column).agg(F.collect_list(held).alias("own"))  # a state per fold
+
+    def others(parts: str) -> Column:
+        return _merged(F.transform(F.filter(parts, lambda x: x["fold"] != F.col("__fold")), lambda x: x["state"]))
+
     # every (class, fold) pair, also those without rows: classes times folds
-    grid = sums.select(column).distinct().withColumn("__fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-    full = grid.alias("g").join(sums.alias("s"), null_safe("g", "s", [column, "__fold"]), "left").select(
-        "g.*", *[F.coalesce(F.col(f"s.{c}"), F.lit(0)).alias(c) for c in ("n", "s", "q")]
-    )
-    of_class, of_fold, of_all = Window.partitionBy(column), Window.partitionBy("__fold"), Window.partitionBy(F.lit(0))
-    out = {c: F.sum(c).over(of_class) - F.col(c) for c in ("n", "s", "q")}
-    rest = {c: F.sum(c).over(of_all) - F.sum(c).over(of_fold) for c in ("n", "s", "q")}
-    table = full.select(column, "__fold", _shrunk(out["n"], out["s"], out["q"], rest["n"], rest["s"], rest["q"]).alias(name))
+    grid = of_class.join(F.broadcast(of_fold)).withColumn("__fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+    table = grid.select(column, "__fold", _shrunk(others("own"), others("every")).alias(name))
     return rows.alias("r").join(broadcast_if_small(table).alias("t"), null_safe("r", "t", [column, "__fold"])).select("r.*", f"t.{name}").drop("__fold")
 
 
@@ -115,7 +132,7 @@ def ordered_encoding(train: DataFrame, column: str, y: str, blocks: list[str], o
 def ordered_encoding_table(train: DataFrame, column: str, y: str) -> DataFrame:
     """Encoding of the class for rows outside the training set; a class seen once
     gets the overall mean."""
-    sums = _class_sums(train, column, y, [])
+    sums = _class_sums(train, column, y)
     every = Window.partitionBy(F.lit(0))  # one row per class
     prior = F.sum("s").over(every) / F.sum("n").over(every)
     encoded = F.when(F.col("n") > 1, (F.col("s") + prior) / (F.col("n") + 1)).otherwise(prior)

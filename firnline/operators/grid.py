@@ -40,9 +40,13 @@ def with_cell(df: DataFrame, header: GridHeader, x: str = "Longitude", y: str =
 
 def attach_nearest(df: DataFrame, grid: DataFrame, header: GridHeader, values: list[str], x: str = "Longitude", y: str = "Latitude") -> DataFrame:
     """Values of the nearest cell. The join type is left to Spark: a fine grid of
-    a continent is far beyond what may be broadcast."""
+    a continent is far beyond what may be broadcast. Points off the grid have no cell to
+    look up and go past the join, so that they do not meet in one task by their null key."""
     located = with_cell(df, header, x, y)
-    return located.join(grid.select("ix", "iy", *values), ["ix", "iy"], "left").drop("ix", "iy")
+    cells = grid.select("ix", "iy", *values)
+    found = located.where("in_bounds").join(cells, ["ix", "iy"], "left").select(*df.columns, "in_bounds", *values)
+    missing = [F.lit(None).cast(cells.schema[v].dataType).alias(v) for v in values]
+    return found.unionByName(located.where("not in_bounds").select(*df.columns, "in_bounds", *missing))
 
 
 def attach_snow_class(df: DataFrame, grid: DataFrame, codes: DataFrame, header: GridHeader, x: str = "Longitude", y: str = "Latitude", strict: bool = False) -> DataFrame:

@@ -102,7 +102,7 @@ def load_split(spark: SparkSession, path: str, final_eval: bool = True) -> tuple
 
 
 def read_experiments(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(EXPERIMENTS).json(path)
+    return spark.read.option("recursiveFileLookup", True).schema(EXPERIMENTS).json(path)  # a folder per run
 
 
 def collect_lag_results(spark: SparkSession, folder: str, pattern: str = r"climate_(\d+)d_tune_target") -> DataFrame:

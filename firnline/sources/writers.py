@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,11 +45,32 @@ def store_split(df: DataFrame, path: str) -> str:
     return write_parquet(df, path, ["split"])
 
 
-def record_experiments(spark: SparkSession, records: list[dict], path: str) -> str:
-    """Append result records as JSON lines, one file per call (records come from
-    finished runs, a handful at a time)."""
+def run_id(records: list[dict]) -> str:
+    """Digest of what identifies a run: models, variants, encoders, modes, seeds and the
+    time stamp of its records."""
+    named = [[str(r.get(c)) for c in ("model", "variant", "encoder", "mode", "seed", "timestamp")] for r in records]
+    return hashlib.sha256(json.dumps(sorted(named)).encode()).hexdigest()[:16]
+
+
+def record_experiments(spark: SparkSession, records: list[dict], path: str, run: str | None = None) -> str:
+    """Append result records as JSON lines, once per run: a run (``run_id`` of its records
+    unless one is given) owns one folder, written aside and renamed, so a repeated or
+    broken-off call adds nothing twice and readers never see half a run."""
     rows = [tuple(record.get(field) for field in EXPERIMENTS.fieldNames()) for record in records]
-    spark.createDataFrame(rows, EXPERIMENTS).coalesce(1).write.mode("append").json(path)
+    context = spark.sparkContext
+    fs, configuration = context._jvm.org.apache.hadoop.fs, context._jsc.hadoopConfiguration()
+    target, staged = (fs.Path(path.rstrip("/"), name) for name in (run or run_id(records), f"_staged-{uuid.uuid4().hex[:12]}"))
+    files = target.getFileSystem(configuration)
+    if files.exists(target):
+        return path
+    spark.createDataFrame(rows, EXPERIMENTS).coalesce(1).write.json(staged.toString())
+    plain = context._gateway.new_array(getattr(fs, "Options$Rename"), 0)
+    try:  # refused where the same run has been recorded meanwhile
+        fs.FileContext.getFileContext(target.getParent().toUri(), configuration).rename(files.makeQualified(staged), files.makeQualified(target), plain)
+    except Py4JJavaError:
+        files.delete(staged, True)
+        if not files.exists(target):
+            raise
     return path
 
 

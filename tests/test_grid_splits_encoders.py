@@ -160,3 +160,25 @@ def test_one_hot(spark):
         encoders.one_hot(spark.createDataFrame([("Ice",)], "c string"), "c").collect()
     with pytest.raises(ValueError, match="onehot, catboost, target"):
         encoders.check_encoder("ordinal")
+
+
+def test_target_encoding_keeps_its_digits_far_from_zero(spark):
+    generator = random.Random(12)
+    rows = [(i, generator.choice("abc"), 1e9 + generator.gauss(0, 0.01) + 0.01 * (i % 3)) for i in range(600)]
+    rows += [(600 + i, "rare", 1e9 + 0.5) for i in range(2)] + [(700, None, 1e9), (701, "empty", None)]
+    far = spark.createDataFrame(rows, "i int, c string, y double")
+    near = spark.createDataFrame([(i, c, None if y is None else y - 1e9) for i, c, y in rows], "i int, c string, y double")
+    for fitted in (lambda d: encoders.target_encoding(d, "c", "y").select("c", "encoded"), lambda d: encoders.cross_fitted_target_encoding(d, "c", "y", ["i"]).select("i", "encoded")):
+        want = {r[0]: r.encoded for r in fitted(near).collect()}
+        got = {r[0]: r.encoded - 1e9 for r in fitted(far).collect()}
+        assert want.keys() == got.keys() and all(abs(want[k] - got[k]) < 1e-6 for k in want)
+
+
+def test_points_off_the_grid_do_not_join(spark):
+    grid_rows = spark.createDataFrame([(x, y, 10 * x + y) for x in range(3) for y in range(2)], "ix int, iy int, v int")
+    header = grid.GridHeader(0.0, 0.0, 1.0, 1.0, 3, 2)
+    points = spark.createDataFrame([(1.2, 0.9, "in"), (9.0, 0.0, "off"), (None, 1.0, "null")], "Longitude double, Latitude double, k string")
+    found = grid.attach_nearest(points, grid_rows, header, ["v"])
+    assert {(r.k, r.v, r.in_bounds) for r in found.collect()} == {("in", 11, True), ("off", None, False), ("null", None, False)}
+    assert found.columns == ["Longitude", "Latitude", "k", "in_bounds", "v"]
+    assert "isnotnull(ix" in found._jdf.queryExecution().optimizedPlan().toString() or "Union" in found._jdf.queryExecution().optimizedPlan().toString()

@@ -209,3 +209,13 @@ def test_relative_gain():
 
 def test_experiment_schema(spark):
     assert sweeps.experiments_table(spark, [{"model": "m"}]).schema == EXPERIMENTS
+
+
+def test_a_run_is_recorded_once(spark):
+    path = scratch_path(spark, "runs")
+    first = [{"model": "rf", "variant": "main", "mode": "tune", "rmse": 1.0, "timestamp": "t"}]
+    for records in (first, first, [{**first[0], "timestamp": "u"}]):
+        writers.record_experiments(spark, records, path)
+    writers.record_experiments(spark, [{**first[0], "rmse": 9.0}], path, run="t again")
+    writers.record_experiments(spark, [{**first[0], "rmse": 8.0}], path, run="t again")
+    assert sorted(r.rmse for r in readers.read_experiments(spark, path).collect()) == [1.0, 1.0, 9.0]
