@@ -229,7 +229,7 @@ def m10_rows(t):
 def _sweep(t, **options):
     rows = _split(t, t.located(t.clean()))
     train, val, _ = _parts(rows)
-    settings = {"variants": list(learn.VARIANTS), "encoders": list(encoders.ENCODERS), "models": ["rf"], "n_trials": 3, "timestamp": "20250101_000000", "nullable": [*CLIMATE, *GEO]}
+    settings = {"variants": list(learn.VARIANTS), "encoders": list(encoders.ENCODERS), "models": ["rf"], "n_trials": 2, "timestamp": "20250101_000000", "nullable": [*CLIMATE, *GEO]}
     return sweeps.sweep(train, val, "Snow_Density", KEYS, readers.load_search_space(TREE_SPACE), **{**settings, **options})
 
 
