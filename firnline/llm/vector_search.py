@@ -1,6 +1,7 @@
 """Nearest vectors by inner product: one navigable small-world graph per shard.
 
-Vectors are dealt at random to shards. Each shard becomes one hierarchical graph
+Vectors are dealt to shards by length, a band holding lengths within a factor of two,
+and at random within a band. Each shard becomes one hierarchical graph
 (HNSW) kept as flat arrays: node i's neighbours on a level are row i of an integer
 matrix. Every query is searched in every shard and the shards' results are merged, so
 recall does not depend on how the vectors were dealt.
@@ -11,7 +12,10 @@ the graph as it was before the batch and, exactly, the batch itself.
 
 Inner product is turned into distance between vectors of one length: each vector of a
 shard gets one more component that lifts it to the longest one's length, and a query
-gets zero there, which leaves all its products as they were.
+gets zero there, which leaves all its products as they were. Within a band the lift is
+small beside the vector, and vectors are scaled by the band and queries to unit length,
+so no length, however extreme, drowns the others or leaves the range of a float. Scales
+do not change an order; the scores returned are products of the original vectors.
 
 Equal vectors are one node with its smallest ids; more ids than a query can return,
 and one for the query itself, can never be in a result.
@@ -24,10 +28,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import broadcast_if_small, cut
 
 #: Links of a node above the lowest level, and on it; candidates kept while building.
 LINKS, LOW_LINKS, BUILD_WIDTH = 16, 32, 64
@@ -199,16 +203,17 @@ def _pack(table: pa.Table) -> pa.Table:
     table = table.sort_by("node")
     dim = table.column("dim")[0].as_py()
     raw = np.asarray(table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)
-    square = (raw**2).sum(axis=1)
-    lifted = np.concatenate([raw, np.sqrt(np.maximum(square.max() - square, 0))[:, None]], axis=1).astype(np.float32)
+    scaled = np.ldexp(raw, -table.column("band")[0].as_py())
+    square = (scaled**2).sum(axis=1)
+    lifted = np.concatenate([scaled, np.sqrt(np.maximum(square.max() - square, 0))[:, None]], axis=1).astype(np.float32)
     graph = build(lifted)
     flat = [x.astype(np.int32).tobytes() for x in graph.neighbours]
-    columns = {"dim": [dim], "shard": [table.column("shard")[0].as_py()], "nodes": [table.column("node").to_numpy().tobytes()], "vectors": [raw.tobytes()], "lifted": [lifted.tobytes()], "neighbours": [flat], "entry": [graph.entry]}
-    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.int64()]
+    columns = {"dim": [dim], "band": [table.column("band")[0].as_py()], "shard": [table.column("shard")[0].as_py()], "nodes": [table.column("node").to_numpy().tobytes()], "vectors": [raw.tobytes()], "lifted": [lifted.tobytes()], "neighbours": [flat], "entry": [graph.entry]}
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.int64()]
     return pa.table({k: pa.array(v, t) for (k, v), t in zip(columns.items(), kinds)})
 
 
-_INDEX = "dim int, shard int, nodes binary, vectors binary, lifted binary, neighbours array<binary>, entry long"
+_INDEX = "dim int, band int, shard int, nodes binary, vectors binary, lifted binary, neighbours array<binary>, entry long"
 
 
 def _search(k: int, width: int):
@@ -223,7 +228,9 @@ def _search(k: int, width: int):
             levels = [np.frombuffer(x, np.int32).reshape(len(nodes), -1).astype(np.int64) for x in row["neighbours"]]
             graph = Graph(lifted, levels, row["entry"])
             asked = np.asarray(queries.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)
-            ids, _ = search(graph, np.pad(asked, ((0, 0), (0, 1))).astype(np.float32), width)
+            unit = asked / np.abs(asked).max(axis=1, keepdims=True)
+            unit /= np.sqrt((unit**2).sum(axis=1, keepdims=True))
+            ids, _ = search(graph, np.pad(unit, ((0, 0), (0, 1))).astype(np.float32), width)
             for i, query in enumerate(queries.column("node").to_pylist()):
                 own = ids[i][ids[i] >= 0]
                 exact = (raw[own] * asked[i]).sum(axis=1)
@@ -245,7 +252,15 @@ def usable(vectors: DataFrame, key: str = "vec_id", column: str = "embedding") -
     return kept.where("vec_id is not null and size(vector) > 0").where(finite & F.exists("vector", lambda x: x != 0))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int = 8192, width: int = 160) -> DataFrame:
+def length_band(vector: str) -> Column:
+    """Whole part of the binary logarithm of a vector's length, worked out without
+    leaving the range of a double."""
+    most = F.array_max(F.transform(vector, lambda x: F.abs(x)))
+    squares = F.aggregate(vector, F.lit(0.0), lambda total, x: total + (x / most) * (x / most))
+    return F.floor(F.log2(most) + F.log2(squares) / 2).cast("int")
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int = 8192, width: int = 256) -> DataFrame:
     """The ``k`` rows of ``vectors`` (vec_id, embedding) nearest to each row of
     ``queries`` (same columns, rows of the same table): query_id, rank from 1, vec_id
     and score, the inner product in double precision.
@@ -255,24 +270,29 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int
     side. Vectors are compared with those of the same number of components. Rows that
     repeat an id count once for each different vector. Results are approximate: an
     index of about ``shard_rows`` vectors per shard is searched with ``width``
-    candidates, which gives recall over 0.9 on vectors without any cluster structure.
+    candidates, which gives recall of 0.93 or more on vectors without any cluster structure
+    (8,192 normal vectors of 64 components in one shard, the worst case tested).
     Other columns are not looked at; empty tables give an empty result.
     """
     rows = usable(vectors).distinct()
     place = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
     classes = rows.select("*", place.alias("place")).where(F.col("place") <= k + 1).groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    classes = cut(classes.select(F.col("ids")[0].alias("node"), "vector", "ids", F.size("vector").alias("dim")))
-    shards = max(1, round(classes.count() / shard_rows))
-    dealt = classes.select("dim", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"), "node", "vector")
-    index = cut(dealt.groupBy("dim", "shard").applyInArrow(_pack, _INDEX))
+    classes = cut(classes.select(F.col("ids")[0].alias("node"), "vector", "ids", F.size("vector").alias("dim"), length_band("vector").alias("band")))
+    sizes = cut(classes.groupBy("dim", "band").agg(F.greatest(F.lit(1), F.round(F.count("*") / shard_rows)).cast("int").alias("shards")))
+    shard = F.pmod(F.xxhash64("node"), "shards").cast("int").alias("shard")
+    dealt = classes.join(broadcast_if_small(sizes), ["dim", "band"]).select("dim", "band", shard, "node", "vector")
+    index = cut(dealt.groupBy("dim", "band", "shard").applyInArrow(_pack, _INDEX))
 
     asked = usable(queries).distinct().select(F.col("vec_id").alias("query_id"), "vector")
     distinct = asked.groupBy("vector").agg(F.min("query_id").alias("node")).select("node", "vector", F.size("vector").alias("dim"))
     blocks = max(1, math.ceil(distinct.count() / QUERY_BLOCK))
     block = F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int").alias("block")
-    spread = distinct.select("*", block, F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    # A row per number of components with all its shards; doubles have some 2,100 bands.
+    every = sizes.select("dim", F.struct("band", "shards").alias("s")).groupBy("dim").agg(F.collect_list("s").alias("bands"))
+    asking = distinct.select("*", block).join(broadcast_if_small(cut(every)), "dim")
+    spread = asking.select("dim", "block", "node", "vector", F.explode("bands").alias("s")).select("dim", "block", "node", "vector", "s.band", F.explode(F.sequence(F.lit(0), F.col("s.shards") - 1)).alias("shard"))
     copies = index.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    keys = ["dim", "shard", "block"]
+    keys = ["dim", "band", "shard", "block"]
     found = copies.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInArrow(_search(k, width), "query long, node long, score double")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "node")
     merged = found.select("*", F.row_number().over(best).alias("place")).where(F.col("place") <= k + 1).drop("place")
