@@ -8,6 +8,12 @@ node, so once for every prefix that pre-tokens share, a whole depth of the trie
 time. The node where a pre-token ends stores its number of pieces, and a document's
 count is the sum over its pre-tokens. There is no shuffle.
 
+Below depth ``SHARED`` a pre-token (a text in a script without spaces, a long run of
+marks) hardly shares a prefix with another: the trie is a plain path there. The
+pieces that end at each position of a path are found for many positions at once, and
+the scores of the last positions are carried from block to block, so the work is
+linear in the length and the memory bounded by the block.
+
 The vocabulary is a public file of ranked byte strings that holds all single bytes, so
 every text can be cut. A piece of rank r costs log(r + 2), Zipf's law for its
 probability, rounded to thousandths; cuts of equal cost are decided by fewer pieces.
@@ -26,8 +32,10 @@ from pyspark.sql import functions as F
 from . import words as W
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Low bits of a score that count pieces.
-COUNT_BITS = 20
+#: Depth up to which pre-tokens share trie nodes, and positions of a path looked up at once.
+SHARED, STRETCH = 256, 1 << 16
+#: Low bits of a score that count pieces: of a node (depth at most SHARED), of a path.
+COUNT_BITS, PATH_BITS = 20, 40
 
 _KIND = np.full(256, 3, np.uint8)  # other marks
 _KIND[W.SPACES] = 0
@@ -84,6 +92,34 @@ class Pieces:
         return hit, price[at[hit]]
 
 
+def path_count(start: int, end: int, before: list[int], pieces: Pieces, hashed) -> int:
+    """Number of pieces of the byte string at [start - len(before) + 1, end) whose first
+    part, up to ``start``, is scored: ``before`` has the scores of its last positions, in
+    order, the last one being that of ``start``. ``hashed`` gives the hashes of many
+    stretches."""
+    keep = max(pieces.tables)
+    mask = (1 << COUNT_BITS) - 1
+    scores = [((s >> COUNT_BITS) << PATH_BITS) + (s & mask) for s in before]
+    for low in range(start, end, STRETCH):
+        high = min(low + STRETCH, end)
+        base = low - len(scores) + 1  # position of the first score kept
+        found = []
+        for length in pieces.tables:
+            stops = np.arange(max(low + 1, base + length), high + 1)
+            hit, price = pieces.price(length, hashed(stops - length, stops))
+            found.append((stops[hit] - base, np.full(len(hit), length), price))
+        stop, length, price = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(stop, kind="stable")
+        stop, length, price = stop[order], length[order], price[order]
+        scores += [1 << 120] * (high - low)
+        for at, back, cost in zip(stop.tolist(), (stop - length).tolist(), (price >> COUNT_BITS).tolist()):
+            score = scores[back] + (cost << PATH_BITS) + 1
+            if score < scores[at]:
+                scores[at] = score
+        scores = scores[-keep:]
+    return scores[-1] & ((1 << PATH_BITS) - 1)
+
+
 def count_pieces(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, pieces: Pieces) -> np.ndarray:
     """Number of pieces of each of many distinct byte strings flat[start:end]."""
     lengths = ends - starts
@@ -101,7 +137,7 @@ def count_pieces(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, pieces:
     def hashed(low, high):
         return W.mix((prefix[high] - prefix[low]) * W._BYTES.inverses[low] + (high - low).astype(np.uint64))
 
-    for depth in range(1, int(lengths[0]) + 1 if len(lengths) else 1):
+    for depth in range(1, min(int(lengths[0]), SHARED) + 1 if len(lengths) else 1):
         n = int(np.searchsorted(-lengths, -depth, side="right"))
         _, first, node = np.unique(hashed(starts[:n], starts[:n] + depth), return_index=True, return_inverse=True)
         best = np.full(len(first), np.iinfo(np.int64).max)
@@ -116,6 +152,9 @@ def count_pieces(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, pieces:
         scores.pop(depth - longest, None), nodes.pop(depth - longest, None)
         done = lengths[:n] == depth
         out[:n][done] = best[node[done]] & ((1 << COUNT_BITS) - 1)
+    for i in np.flatnonzero(lengths > SHARED):
+        before = [int(scores[depth][nodes[depth][i]]) for depth in sorted(scores)]
+        out[i] = path_count(int(starts[i]) + SHARED, int(starts[i] + lengths[i]), before, pieces, hashed)
     result = np.empty(len(out), np.int64)
     result[order] = out
     return result
@@ -152,8 +191,8 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_pretokens and n_tokens.
 
     ``vocabulary`` is a file on the driver. Null and empty texts have no tokens. Every
-    byte of a text belongs to one pre-token, white space included. A piece count up to
-    a million per pre-token is exact. Null and repeated ids are right, as rows are
+    byte of a text belongs to one pre-token, white space included; counts are exact
+    however long it is. Null and repeated ids are right, as rows are
     counted one by one. Other columns are not looked at; an empty table gives an empty
     result.
     """
