@@ -4,7 +4,9 @@
    six minima give its bucket keys, and the two low bits of all 252 minima its
    packed signature. A pair with the least similarity that counts, 0.8, misses
    every band with probability (1 - 0.8**6)**42 = 3e-6.
-2. Texts with equal sets form one class and go on as its smallest document.
+2. Texts with equal sets form one class and go on as its smallest document. A class
+   is named by a number of its own, since rows that repeat a doc_id may make it the
+   smallest of several classes.
 3. Bands: every class is linked to the smallest one in each of its buckets. That
    is one row per bucket member, however large the bucket, and two classes that
    share a bucket end up in the same loose group.
@@ -83,6 +85,11 @@ def estimated(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (agree - chance) / (1 - chance)
 
 
+def class_of(shingles: bytes) -> bytes:
+    """Digest of a shingle set."""
+    return hashlib.blake2b(shingles, digest_size=16).digest()
+
+
 def _sketch(length: int):
     def run(batches):
         for whole in batches:
@@ -95,8 +102,7 @@ def _sketch(length: int):
                     least = minima(shingles)
                     bands = W._WORDS.runs(least.astype(np.uint64), np.arange(0, _HASHES, ROWS), np.arange(ROWS, _HASHES + 1, ROWS))
                     bands = W.mix(bands + np.arange(BANDS, dtype=np.uint64))
-                    digest = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
-                    rows.append((doc, len(shingles), digest, bands.view(np.int64).tolist(), pack(least)))
+                    rows.append((doc, len(shingles), class_of(shingles.tobytes()), bands.view(np.int64).tolist(), pack(least)))
                 columns = list(zip(*rows)) or [()] * 5
                 kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "n_shingles", "class", "bands", "signature"])
@@ -109,7 +115,8 @@ def _sets(length: int):
         for whole in batches:
             for batch in W.slices(whole):
                 sets = [s.tobytes() for s in shingle_sets(batch, length)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["rep", "shingles"])
+                names = [class_of(s) for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(sets, pa.binary())], ["class", "shingles"])
 
     return run
 
@@ -157,7 +164,7 @@ def linked_pairs(left: list, right: list, left_bits: list, right_bits: list, per
 
 def _confirm(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        rep = table.column("rep").to_numpy()
+        key = table.column("key").to_numpy()
         first = table.column("block").to_numpy() == table.column("i").to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
         bits = table.column("signature").to_pylist()
@@ -177,7 +184,7 @@ def _confirm(percent: int):
                 a, b = root(rows[i]), root(columns[j])
                 if a != b:
                     parent[a] = b
-                    pairs.append((rep[rows[i]], rep[columns[j]]))
+                    pairs.append((key[rows[i]], key[columns[j]]))
         a, b = zip(*pairs) if pairs else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -198,22 +205,27 @@ def near_duplicates(docs: DataFrame, length: int = 5, percent: int = 80) -> Data
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = cut(texts.mapInArrow(_sketch(length), "doc_id long, n_shingles long, class binary, bands array<long>, signature binary"))
     known = sketch.where("doc_id is not null and class is not null")
-    classes = cut(known.groupBy("class").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bands", "signature", "n_shingles"), "doc_id").alias("s")).select("class", "rep", "s.*"))
-
-    members = classes.select("rep", F.explode("bands").alias("bucket"))
-    hubs = members.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").select("bucket", "hub")
-    loose = cut(components(members.join(hubs, "bucket").where("rep > hub").select("rep", "hub").distinct()))
-
-    group = classes.join(loose.select(F.col("node").alias("rep"), F.col("component").alias("loose")), "rep").select("rep", "loose", "signature", "n_shingles")
-    blocks = loose.join(classes.select(F.col("rep").alias("node"), "n_shingles"), "node").groupBy(F.col("component").alias("loose")).agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("n"))
-    wanted = cut(group.join(blocks, "loose").withColumn("block", F.pmod(F.xxhash64("rep"), "n").cast("int")))
-    sets = texts.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(length), "rep long, shingles binary")
+    classes = known.groupBy("class").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bands", "signature", "n_shingles"), "doc_id").alias("s"))
+    # Numbers of classes, fixed by the checkpoint.
+    classes = cut(classes.select("class", "rep", F.monotonically_increasing_id().alias("key"), "s.*"))
+
+    members = classes.select("key", F.explode("bands").alias("bucket"))
+    hubs = members.groupBy("bucket").agg(F.min("key").alias("hub"), F.max("key").alias("last")).where("hub < last").select("bucket", "hub")
+    loose = cut(components(members.join(hubs, "bucket").where("key > hub").select("key", "hub").distinct()))
+
+    group = classes.join(loose.select(F.col("node").alias("key"), F.col("component").alias("loose")), "key").select("key", "class", "rep", "loose", "signature", "n_shingles")
+    blocks = group.groupBy("loose").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("n"))
+    wanted = cut(group.join(blocks, "loose").withColumn("block", F.pmod(F.xxhash64("key"), "n").cast("int")))
+    sets = texts.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(length), "class binary, shingles binary")
     other = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
-    paired = wanted.select("*", other).select("rep", "loose", "signature", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    confirmed = paired.join(sets, "rep").groupBy("loose", "i", "j").applyInArrow(_confirm(percent), "a long, b long")
-    groups = components(confirmed)
-
-    rows = sketch.join(classes.select("class", "rep"), "class", "left")
-    found = rows.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
+    paired = wanted.select("*", other).select("key", "class", "loose", "signature", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    confirmed = paired.join(sets, "class").drop("class").groupBy("loose", "i", "j").applyInArrow(_confirm(percent), "a long, b long")
+    groups = cut(components(confirmed).join(classes.select(F.col("key").alias("node"), "class", "rep"), "node").select("class", "rep", "component"))
+
+    smallest = groups.groupBy("component").agg(F.min("rep").alias("smallest"))
+    linked = groups.join(smallest, "component").select("class", "smallest")
+    # a class without a link outside itself goes by its own smallest document
+    named = classes.select("class", "rep").join(linked, "class", "left").select("class", F.coalesce("smallest", "rep").alias("smallest"))
+    found = sketch.join(named, "class", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("smallest", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
