@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from firnline.llm import chat, language_id, licenses, line_dedup, mixing, near_dedup, substring_dedup, token_counts, vector_search
 from firnline.llm import words as W
 from firnline.llm.common import components
-from firnline.llm.decontaminate import MASKS, best_segment, contaminated
+from firnline.llm.decontaminate import MASKS, best_segment, contaminated, own_masks
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, removed string, component_id string, size string"
 LONG = "word " * 60_000
@@ -467,3 +467,101 @@ def test_language_sample_stays_bounded_where_ids_repeat(spark, monkeypatch):
     rows = [(None, f"some words {i}", "en") for i in range(40)] + [(7, f"quelques mots {i}", "fr") for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert sorted(language for language, _ in language_id.fit(docs, documents=10, per_document=2)) == ["en", "en", "fr", "fr"]
+
+
+@pytest.mark.parametrize("factor", [1, 10_000, 1e200])
+def test_nearest_in_a_full_shard_without_clusters(spark, factor):
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(8192, 64))
+    vectors[77] *= factor
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").repartition(4)
+    out = vector_search.nearest(table, table.where("vec_id % 40 = 0"), k=20).collect()
+    queries = np.arange(0, 8192, 40)
+    exact = vectors[queries] @ vectors.T
+    exact[np.arange(len(queries)), queries] = -np.inf
+    best = np.argsort(-exact, axis=1)[:, :20]
+    found = {(r.query_id, r.vec_id) for r in out}
+    assert len(found) == len(out) == 20 * len(queries)
+    assert np.mean([(int(q), int(i)) in found for q, row in zip(queries, best) for i in row]) >= 0.9
+
+
+def test_length_bands(spark):
+    rows = [([3.0, 4.0],), ([0.5, 0.0],), ([3e200, 4e200],), ([3e-300, 0.0],), ([1e-320],)]
+    got = spark.createDataFrame(rows, "v array<double>").select(vector_search.length_band("v")).collect()
+    assert [r[0] for r in got] == [2, -1, 666, -995, -1064]
+
+
+@pytest.mark.parametrize(("shared", "stretch"), [(1, 1), (3, 5), (4, 64), (256, 7)])
+def test_long_pretokens_equal_plain_programming(monkeypatch, shared, stretch):
+    monkeypatch.setattr(token_counts, "SHARED", shared)
+    monkeypatch.setattr(token_counts, "STRETCH", stretch)
+    rng = random.Random(shared)
+    costs = {bytes([i]): 3000 + i for i in range(256)} | {b"ab": 4000, b"abc": 5000, b"cab": 4500, b"aa": 3100, b"aaaa": 6200, b"bcabc": 5100}
+    longest = max(map(len, costs))
+
+    def brute(token):
+        best = [(0, 0)]
+        for e in range(1, len(token) + 1):
+            best.append(min((best[b][0] + costs[token[b:e]], best[b][1] + 1) for b in range(max(0, e - longest), e) if token[b:e] in costs))
+        return best[-1][1]
+
+    texts = ["".join(rng.choices("abc", k=n)) for n in (1, 2, 3, 4, 5, 9, 40, 255, 256, 257, 600)] + ["a" * 700, "abc" * 100, "abc" * 100 + "b"]
+    out = next(token_counts._count(costs)([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])]))
+    assert out.column(2).to_pylist() == [brute(t.encode()) for t in texts]
+
+
+def test_pretoken_beyond_two_to_the_twentieth(spark, tmp_path):
+    import base64
+
+    path = tmp_path / "ranks"
+    path.write_bytes(b"\n".join(base64.b64encode(bytes([i])) + b" %d" % i for i in range(256)))
+    long = "\u96ea" * 400_000  # one pre-token of 1.2 million bytes, each a piece
+    got = token_counts.token_counts(documents(spark, [(1, long), (2, long + "x")]), str(path)).collect()
+    assert {(r.doc_id, r.n_pretokens, r.n_tokens) for r in got} == {(1, 1, 1_200_000), (2, 1, 1_200_001)}
+
+
+def test_masks_of_short_items_leave_no_gap():
+    for length in range(1, 16):
+        changes = length // 5
+        placed = [{at + o for o in m} for m in MASKS for at in range(length - m[-1])] + [set(m) for m in own_masks(length, 0.8)]
+        assert all(any(not p & set(spoiled) for p in placed) for spoiled in combinations(range(length), changes))
+
+
+def test_short_items_against_plain_alignment(spark):
+    """Items of up to 15 tokens with every number of changes, beside a plain alignment of all pairs."""
+    rng = random.Random(11)
+    items = {n * 10 + k: [f"i{n}x{k}x{j}" for j in range(n)] for n in range(1, 16) for k in range(2)}
+    items[500] = [f"long{j}" for j in range(20)]
+    texts = []
+    for number, item in items.items():
+        for changes in range(4):
+            changed = list(item)
+            for j in rng.sample(range(len(item)), min(changes, len(item))):
+                changed[j] = f"zz{rng.randrange(99)}"
+            around = [[f"f{rng.randrange(999)}" for _ in range(rng.randrange(12))] for _ in range(2)]
+            texts.append((number * 10 + changes, " ".join(around[0] + changed + around[1])))
+
+    def holds(text, item):
+        own = text.split()
+        for diagonal in range(-len(item) + 1, len(own)):
+            low, high = max(0, diagonal), min(len(own), diagonal + len(item))
+            same = np.array(own[low:high]) == np.array(item[low - diagonal : high - diagonal])
+            for a, b in (best_segment(same), (0, len(same))):
+                equal = int(same[a:b].sum())
+                if equal and 5 * equal >= 4 * (b - a) and (equal >= 11 or 5 * equal >= 4 * len(item)):
+                    return True
+        return False
+
+    tests = spark.createDataFrame([(n, " ".join(i)) for n, i in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in contaminated(documents(spark, texts), tests).collect()}
+    want = {(d, n) for d, t in texts for n, i in items.items() if holds(t, i)}
+    assert got == want
+    assert {(n * 10 + c, n) for n, i in items.items() if len(i) <= 15 for c in range(len(i) // 5 + 1)} <= got
+
+
+def test_near_duplicates_where_texts_share_a_doc_id(spark):
+    rng = random.Random(12)
+    a, b = (" ".join(f"{s}{rng.randrange(900)}" for _ in range(40)) for s in "ab")
+    texts = [(3, a), (5, a + " more"), (5, b), (9, b + " more"), (5, b), (12, "one text alone that nothing resembles")]
+    got = {(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(documents(spark, texts)).collect()}
+    assert got == {(3, 3, True), (5, 3, False), (5, 5, True), (9, 5, False), (12, 12, True)}
