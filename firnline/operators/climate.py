@@ -65,7 +65,7 @@ def _with_previous(df: DataFrame, station: str, ts: str, columns: list[str], rea
     spread = (
         rows.withColumn("__own", part)
         .withColumn(_SLICE, F.explode(copies))
-        .withColumn(_MAIN, F.col("__own") == part)
+        .withColumn(_MAIN, F.col("__own").eqNullSafe(part))
         .select(station, _SLICE, _US, _MAIN, *columns, *[F.when(F.col(_MAIN), F.col(f"`{c}`")).alias(c) for c in others])
     )
     # shuffled by slice even where the rows come partitioned by station; one order
@@ -73,8 +73,12 @@ def _with_previous(df: DataFrame, station: str, ts: str, columns: list[str], rea
     ordered = Window.partitionBy(station, _SLICE).orderBy(_US)
     whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     laid = spread.unionByName(carry, allowMissingColumns=True).repartition(F.col(f"`{station}`"), F.col(_SLICE))
+    # Seen in the same sorted slice, so it costs no shuffle: equal times stand side by side.
+    named = F.col(f"`{station}`")
+    twice = named.isNotNull() & (F.lag(_US, 1).over(ordered) == us)
+    refusal = F.raise_error(F.concat_ws(" ", F.lit("several rows of station"), named.cast("string"), F.lit("at"), F.timestamp_micros(us).cast("string")))
     return laid.withColumns(
-        {**{f"__prev_{c}": F.lag(c, 1).over(ordered) for c in columns}, _FIRST: F.max(_FIRST).over(whole)}
+        {**{f"__prev_{c}": F.when(twice, refusal).when(us.isNotNull(), F.lag(c, 1).over(ordered)) for c in columns}, _FIRST: F.max(_FIRST).over(whole)}
     )
 
 
@@ -83,7 +87,8 @@ def _slice_days(longest: int, slice_days: int | None) -> int:
 
 
 def previous_row(df: DataFrame, station: str, ts: str, columns: list[str], slice_days: int | None = None) -> DataFrame:
-    """``{column}_previous``: the value one row (not one day) back in the station."""
+    """``{column}_previous``: the value one row (not one day) back in the station. The job
+    fails where a station has two rows at one time, since neither is the previous one."""
     laid = _with_previous(df, station, ts, columns, 0, _slice_days(0, slice_days))
     return laid.where(_MAIN).select(
         *[F.col(f"`{c}`") for c in df.columns], *[F.col(f"__prev_{c}").alias(f"{c}_previous") for c in columns]
@@ -102,7 +107,9 @@ def lag_features(
 
     The value of the previous *row* of the station is averaged over the *time*
     range ``(t - w days, t]``; it stays missing until ``w`` days after the
-    station's first row. (``station``, ``ts``) must be unique.
+    station's first row. (``station``, ``ts``) must be unique: the job fails where a
+    station has two rows at one time (``quality.duplicate_keys`` lists them). Rows
+    without a station are not held to that; a row without a time has no history.
 
     A station's history is cut into time slices so that a station with very many
     rows is not one task. Each row near the end of a slice is copied into the next

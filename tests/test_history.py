@@ -139,6 +139,17 @@ def test_nan_becomes_null_and_filters(spark):
     assert profile == {"a": 1, "c": 1}
 
 
+@pytest.mark.parametrize("at", [START, START + 29 * D, START + 31 * D])
+def test_history_refuses_two_rows_at_one_time(spark, at):
+    rows = [("a", START + i * D, float(i)) for i in range(60)] + [("a", at, -1.0)]
+    df = spark.createDataFrame(rows, "station string, ts timestamp, v double")
+    for result in (climate.previous_row(df, "station", "ts", ["v"], 30), climate.lag_features(df, "station", "ts", ["v"], [7, 30], 30)):
+        with pytest.raises(Exception, match="several rows of station a at"):
+            result.collect()
+    others = spark.createDataFrame([(None, at, 1.0), (None, at, 2.0), ("b", None, 1.0), ("b", None, 2.0), ("b", at, 3.0)], df.schema)
+    assert climate.previous_row(others, "station", "ts", ["v"], 30).count() == 5
+
+
 def test_duplicate_keys(spark):
     df = spark.createDataFrame([("a", 1), ("a", 1), ("b", 1)], "s string, t int")
     assert [(r.s, r.copies) for r in quality.duplicate_keys(df, ["s", "t"]).collect()] == [("a", 2)]
