@@ -205,8 +205,9 @@ def t4(t):
 def u1(t):
     """Frames that cover the table between them; one lacks a column."""
     items = t.table("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_quantity", "l_tax")
-    returned = items.where("l_returnflag = 'R'").drop("l_tax")
-    return union_stations([items.where("l_returnflag = 'A'"), items.where("l_returnflag = 'N'"), returned])
+    returned = items.where("l_returnflag = 'R' or l_returnflag is null").drop("l_tax")
+    others = items.where("l_returnflag not in ('A', 'N', 'R')")
+    return union_stations([items.where("l_returnflag = 'A'"), items.where("l_returnflag = 'N'"), others, returned])
 
 
 @query("u2_stations_over_splits", "select count(distinct Station_Name) as stations from spatial", **SPLIT_VIEWS)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,7 +84,7 @@ def s7(t):
 def s8(t):
     """Stored by split; density and SWE targets are columns of the same rows."""
     rows = splits.create_splitter("spatial").split(cleaning.station_table(t.snow), t.snow)
-    path = writers.store_split(rows, scratch_path(t.spark, "splits"))
+    path = writers.store_split(rows, scratch_path(t.spark, "splits"), ["Station_Name", "Date"])
     parts = []
     for final_eval in (True, False):
         for role, part in zip(("training", "evaluation"), readers.load_split(t.spark, path, final_eval)):
@@ -158,8 +159,7 @@ def p9(t):
 def p10(t):
     """The key travels as columns; it is unique."""
     rows = shape.keyed(t.snow.select(day(), "Station_Name", "Snow_Depth"), ["Station_Name", "Date"])
-    copies = rows.groupBy("Station_Name", "Date").agg(F.count(F.lit(1)).alias("copies"))
-    return rows.join(copies, ["Station_Name", "Date"])
+    return rows.withColumn("copies", F.count(F.lit(1)).over(Window.partitionBy("Station_Name", "Date")))
 
 
 @query("f1_minimum_snow", f"select {DATED}, site, round(SWE, 6) as SWE, round(Snow_Depth, 6) as Snow_Depth from derived where Snow_Depth <> 0 and SWE <> 0 and Snow_Depth > 5 and SWE > 3")

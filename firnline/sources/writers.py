@@ -14,9 +14,26 @@ from pyspark.sql import functions as F
 from ..schemas import EXPERIMENTS
 
 
-def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "overwrite", compression: str = "gzip") -> str:
+def write_parquet(
+    df: DataFrame,
+    path: str,
+    partition_by: list[str] | None = None,
+    mode: str = "overwrite",
+    compression: str = "gzip",
+    cluster_by: list[str] | None = None,
+) -> str:
     """Parquet, gzip unless told otherwise; ``partition_by`` should have few values
-    (a water year)."""
+    (a water year).
+
+    With ``cluster_by`` rows are dealt by range over ``partition_by`` and then
+    ``cluster_by`` and sorted so: a task holds one stretch of that order, so there are
+    at most as many files as tasks and folders together, a large folder is spread over
+    many tasks, and the least and largest values in a file's footer rule it out for
+    other keys. The ranges come from a sample, which reads ``df`` once more.
+    """
+    if cluster_by:
+        order = [F.col(f"`{c}`") for c in [*(partition_by or []), *cluster_by]]
+        df = df.repartitionByRange(*order).sortWithinPartitions(*order)
     writer = df.write.mode(mode).option("compression", compression)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -29,9 +46,12 @@ def water_year(date: str) -> Column:
     return F.year(date) + F.when(F.month(date) >= 10, 1).otherwise(0)
 
 
-def write_by_water_year(df: DataFrame, path: str, date: str = "Date") -> str:
-    """Partitioned by water year, so year filters skip whole folders."""
-    return write_parquet(df.withColumn("water_year", water_year(date)), path, ["water_year"])
+def write_by_water_year(df: DataFrame, path: str, date: str = "Date", station: str = "Site") -> str:
+    """Partitioned by water year, so year filters skip whole folders, and in order of
+    station and date inside (date alone without such a column), so station filters skip
+    files and row groups."""
+    keys = [c for c in (station, date) if c in df.columns]
+    return write_parquet(df.withColumn("water_year", water_year(date)), path, ["water_year"], cluster_by=keys)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
@@ -39,10 +59,10 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     return path
 
 
-def store_split(df: DataFrame, path: str) -> str:
+def store_split(df: DataFrame, path: str, cluster_by: list[str] | None = None) -> str:
     """Rows with a ``split`` column, one folder per split. Density and SWE
-    targets are columns of the same rows."""
-    return write_parquet(df, path, ["split"])
+    targets are columns of the same rows. ``cluster_by`` as in ``write_parquet``."""
+    return write_parquet(df, path, ["split"], cluster_by=cluster_by)
 
 
 def run_id(records: list[dict]) -> str:

@@ -58,6 +58,35 @@ def test_water_year_folders(spark):
     assert "PartitionFilters: [isnotnull(water_year" in back._jdf.queryExecution().executedPlan().toString()
 
 
+def test_clustered_files_are_few_and_ordered(spark):
+    days = spark.range(4000).selectExpr("concat('s', lpad(string(id % 50), 2, '0')) as Site", "timestamp'2001-10-01' + make_interval(0, 0, 0, int(id % 1400)) as Date", "double(id) as SWE").repartition(16)
+    path = writers.write_by_water_year(days, scratch_path(spark, "clustered"))
+    back = spark.read.parquet(path)
+    years = back.select("water_year").distinct().count()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert years == 4 and len(back.inputFiles()) <= tasks + years - 1
+    stretches = back.groupBy("water_year", F.input_file_name().alias("file")).agg(F.min("Site").alias("low"), F.max("Site").alias("high"), F.count("*").alias("n")).orderBy("water_year", "low").collect()
+    assert sum(s.n for s in stretches) == 4000
+    assert all(a.high <= b.low for a, b in zip(stretches, stretches[1:]) if a.water_year == b.water_year)
+
+
+def test_store_split_clustered(spark):
+    rows = spark.range(1000).selectExpr("if(id % 5 = 0, 'test', 'train') as split", "string(id % 20) as Station_Name", "id")
+    path = writers.store_split(rows.repartition(16), scratch_path(spark, "split"), ["Station_Name", "id"])
+    back = spark.read.parquet(path)
+    assert back.count() == 1000 and len(back.inputFiles()) <= int(spark.conf.get("spark.sql.shuffle.partitions")) + 1
+
+
+def test_union_keeps_other_flags(spark, tmp_path):
+    from firnline.plans.catalog import QUERIES
+
+    flags = ["A", "N", "R", "X", None]
+    rows = [(i, i, i, i, f, 1.0, 0.5) for i, f in enumerate(flags)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string, l_quantity double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.l_returnflag: r.l_tax for r in QUERIES["u1_union_frames"](spark, str(tmp_path)).collect()}
+    assert got == {"A": 0.5, "N": 0.5, "X": 0.5, "R": None, None: None}
+
+
 def test_clean_observations(spark):
     raw = spark.createDataFrame(raw_rows(), RAW_OBSERVATIONS)
     clean = cleaning.clean_observations(raw, [7])
