@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators.grid import GridHeader, header_of
 from ..schemas import RAW_OBSERVATIONS
-from ..session import prepare, scratch_path
+from ..session import landed, modified, prepare
 from ..sources.writers import write_parquet
 from . import cleaning
 
@@ -80,10 +80,13 @@ class Tables:
 
     @cached_property
     def staged(self) -> DataFrame:
-        """Raw station-days landed once as a table in the shared folder. Quality
-        control and history pass over them several times; from here a pass is a
-        column-pruned scan, not the join and aggregation above."""
-        path = write_parquet(self.raw, scratch_path(self.spark, "raw"), compression="zstd")
+        """Raw station-days landed once a session as a table in the shared folder, again
+        when a table they come from has changed. Quality control and history pass over
+        them several times; from here a pass is a column-pruned scan, not the join and
+        aggregation above."""
+        tables = ("lineitem", "supplier", "nation")
+        changes = [modified(self.spark, f"{self.folder}/{name}.parquet") for name in tables]
+        path = landed(self.spark, "raw", (self.folder, *changes), lambda path: write_parquet(self.raw, path, compression="zstd"))
         return self.spark.read.schema(RAW_OBSERVATIONS).parquet(path)
 
     @cached_property

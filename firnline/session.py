@@ -5,12 +5,16 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 
 
-#: Scratch folders of local applications that name none, by application id.
+#: By application id: scratch folders of local applications that name none, paths
+#: handed out, and tables landed once.
 _LOCAL_FOLDERS: dict[str, str] = {}
+_SCRATCH: dict[str, list[str]] = {}
+_LANDED: dict[str, dict[tuple, str]] = {}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -59,8 +63,42 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path of its own for one written table under the shared folder."""
-    return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    """A path of its own for one written table under the shared folder; ``release``
+    removes what is written there."""
+    path = os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """A path and its file system."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def modified(spark: SparkSession, path: str) -> int:
+    """When a file or folder was last changed, in milliseconds."""
+    found, files = _hadoop(spark, path)
+    return files.getFileStatus(found).getModificationTime()
+
+
+def landed(spark: SparkSession, name: str, source: tuple, write: Callable[[str], str]) -> str:
+    """Path of a table that ``write`` stores at a scratch path, once per session and
+    ``source``; name the time of the source's last change in it."""
+    tables = _LANDED.setdefault(spark.sparkContext.applicationId, {})
+    if (name, source) not in tables:
+        tables[name, source] = write(scratch_path(spark, name))
+    return tables[name, source]
+
+
+def release(spark: SparkSession) -> None:
+    """Remove every table this session wrote to a scratch path. DataFrames that still
+    read them are void, so call it when all results are written or collected."""
+    application = spark.sparkContext.applicationId
+    _LANDED.pop(application, None)
+    for path in _SCRATCH.pop(application, []):
+        found, files = _hadoop(spark, path)
+        files.delete(found, True)
 
 
 def enable_checkpoints(spark: SparkSession) -> None:
