@@ -6,7 +6,9 @@ stage starts from files and a lost executor costs one stage's tasks at most.
 
 Rows keep all their columns up to the last stage. Rows without doc_id cannot be told
 apart: language ID and mixing judge them like others, the stages between keep them. An
-empty table passes through as an empty table.
+empty table passes through as an empty table. Documents may have columns of any name: a
+row travels as one struct, and only ``mix_words`` and ``mix_epoch`` give way to the
+columns that the last stage adds.
 """
 
 from __future__ import annotations
@@ -46,13 +48,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without lines that earlier documents hold, and without documents that nothing is
     left of; n_chars follows the text."""
-    gone = shared_lines(docs).select(F.col("doc_id").alias("_line_doc"), F.col("removed").alias("_line_gone"))
-    both = docs.join(gone, F.col("doc_id") == F.col("_line_doc"), "left")
-    text = F.when(F.col("_line_gone").isNull(), F.col("text")).otherwise(without_lines("text", "_line_gone"))
-    shorter = both.withColumn("_line_text", text)
-    filled = shorter.where(F.col("_line_gone").isNull() | F.col("_line_text").rlike(r"[^\x20\x09-\x0D]"))
-    changed = {"text": F.col("_line_text"), "n_chars": F.when(F.col("_line_gone").isNull(), F.col("n_chars")).otherwise(F.length("_line_text").cast("long"))}
-    return filled.select(*[changed[c].alias(c) if c in changed else c for c in docs.columns])
+    gone = shared_lines(docs).select(F.col("doc_id").alias("of"), F.col("removed").alias("gone"))
+    both = as_rows(docs).join(gone, F.col("row.doc_id") == F.col("of"), "left").withColumn("text", F.col("row.text"))
+    whole = F.col("gone").isNull()
+    shorter = both.withColumn("text", F.when(whole, F.col("text")).otherwise(without_lines("text", "gone")))
+    filled = shorter.where(whole | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    changed = {"text": F.col("text"), "n_chars": F.when(whole, F.col("row.n_chars")).otherwise(F.length("text").cast("long"))}
+    return filled.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,13 +72,19 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     size in words beside the columns of documents."""
     mixed = mix(docs, quality_weights(spark, sf_dir), carried=True)
     taken = mixed.where("epochs > 0").select("row", "size", F.explode(F.sequence(F.lit(1).cast("long"), F.col("epochs"))).alias("epoch"))
-    return taken.select("row.*", F.col("size").alias("mix_words"), F.col("epoch").alias("mix_epoch"))
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in ("mix_words", "mix_epoch")]
+    return taken.select(*own, F.col("size").alias("mix_words"), F.col("epoch").alias("mix_epoch"))
+
+
+def as_rows(docs: DataFrame) -> DataFrame:
+    """Each document as one struct, ``row``, whose columns clash with none beside it."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
 
 def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """Documents whose doc_id is not among the rejected ones; null ids stay."""
-    ids = rejected.select(F.col("doc_id").alias("_rejected")).distinct()
-    return docs.join(ids, F.col("doc_id") == F.col("_rejected"), "left_anti")
+    ids = rejected.select(F.col("doc_id").alias("rejected")).distinct()
+    return as_rows(docs).join(ids, F.col("row.doc_id") == F.col("rejected"), "left_anti").select("row.*")
 
 
 STAGES = [("language", language), ("line_dedup", lines), ("near_dedup", near), ("decontaminate", leaks), ("mix", mixture)]
