@@ -128,6 +128,19 @@ def test_run_equals_its_stages(spark, folder):
     assert corpus_pipeline.run(spark, path).orderBy(*order).collect() == docs.orderBy(*order).collect()
 
 
+def test_stages_take_columns_of_any_name(spark, folder):
+    path, _, _ = folder
+    docs = plain = spark.read.parquet(f"{path}/documents.parquet")
+    names = ["row", "of", "gone", "removed", "rejected", "size", "epochs", "weight", "component_id", "mix_words", "mix_epoch", "with.dot"]
+    docs = docs.select("*", *[F.concat(F.lit(name), "doc_id").alias(name) for name in names])
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        docs, plain = stage(spark, docs, path).cache(), stage(spark, plain, path).cache()
+        assert sorted(docs.select(*plain.columns).collect()) == sorted(plain.collect()), name
+    for name in names:
+        if not name.startswith("mix"):
+            assert docs.where(F.col(f"`{name}`") != F.concat(F.lit(name), "doc_id")).count() == 0
+
+
 def test_stages_take_an_empty_table(spark, folder):
     path, _, _ = folder
     empty = spark.createDataFrame([], DOCS)
