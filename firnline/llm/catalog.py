@@ -12,6 +12,7 @@ from .common import read
 from .decontaminate import contaminated
 from .line_dedup import remove_shared_lines
 from .mixing import mix
+from .stages import quality_weights
 from .substring_dedup import remove_repeats
 
 QUERIES, ORACLES = {}, {}
@@ -140,7 +141,7 @@ from running
 @query("op8_source_mix", MIX_SQL)
 def op8(spark, folder):
     """Words of every document in a mix of the sources."""
-    mixed = mix(read(spark, folder, "documents"), corpus_pipeline.quality_weights(spark, folder))
+    mixed = mix(read(spark, folder, "documents"), quality_weights(spark, folder))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -35,12 +35,15 @@ _FOLD[65:91] += 32
 @dataclass
 class Field:
     """A fitted field: language names, feature weights, log transitions, and the
-    sorted word hashes of the lexicon."""
+    sorted word hashes of the lexicon. ``spellings`` tells which spelling features the
+    training pieces hold, ``usual`` what share of a piece's features the others hold."""
 
     languages: list[str]
     weights: np.ndarray
     transitions: np.ndarray
     lexicon: np.ndarray
+    spellings: np.ndarray
+    usual: float
 
 
 def spelling(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,12 +86,27 @@ def looked_up(lexicon: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return BUCKETS + np.where(known, at, len(lexicon))
 
 
-def scores(field: Field, data: np.ndarray, words: W.Words) -> np.ndarray:
-    """Score of each word for each language; each spelling is scored once."""
+def scores(field: Field, data: np.ndarray, words: W.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Score of each word for each language, and the share of its spelling features
+    that the training pieces hold; each spelling is scored once."""
     known, first, of = np.unique(words.hashes, return_index=True, return_inverse=True)
     features, begin = spelling(data, words.starts[first], words.ends[first])
     own = np.add.reduceat(field.weights[features], begin, axis=0)
-    return (own + field.weights[looked_up(field.lexicon, known)])[of]
+    met = np.add.reduceat(field.spellings[features].astype(np.float64), begin) / np.diff(np.append(begin, len(features)))
+    return (own + field.weights[looked_up(field.lexicon, known)])[of], met[of]
+
+
+def usual_share(features: np.ndarray, begin: np.ndarray, of: np.ndarray, owner: np.ndarray) -> float:
+    """Median over pieces of the share of a piece's spelling features that another piece
+    holds too. Word i of piece owner[i] has the features of spelling of[i]."""
+    each = np.diff(np.append(begin, len(features)))[of]
+    inner = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+    held, piece = features[np.repeat(begin[of], each) + inner], np.repeat(owner, each)
+    pairs = np.unique(piece * BUCKETS + held)
+    holders = np.bincount(pairs % BUCKETS, minlength=BUCKETS)
+    total = np.bincount(piece)
+    shares = np.bincount(piece, holders[held] > 1) / np.where(total > 0, total, 1)
+    return float(np.median(shares[total > 0])) if total.any() else 0.0
 
 
 def marginals(emission: np.ndarray, first: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -215,7 +233,9 @@ def train(pieces: list[tuple[str, bytes]], rounds: int = 60, least: int = 3, see
         gap = seen - expected
         moved += gap**2
         transitions += 0.02 * gap / np.sqrt(moved)
-    return Field(languages, weights.astype(np.float32), transitions, lexicon)
+    spellings = np.zeros(BUCKETS, bool)
+    spellings[features] = True
+    return Field(languages, weights.astype(np.float32), transitions, lexicon, spellings, usual_share(features, begin, of, words.owner()))
 
 
 def fit(docs: DataFrame, documents: int = 3000, per_document: int = 2, stretch: int = 25, rounds: int = 60) -> Field:
@@ -230,45 +250,55 @@ def fit(docs: DataFrame, documents: int = 3000, per_document: int = 2, stretch:
     # One text a draw, also where many rows share an id or have none.
     chosen = labelled.join(F.broadcast(drawn), ["lang", "draw"]).groupBy("lang", "draw").agg(F.min("text").alias("text")).select("lang", "text")
     pieces = chosen.mapInArrow(_stretches(per_document, stretch), "lang string, piece binary").collect()
-    return train(sorted((r.lang, bytes(r.piece)) for r in pieces), rounds) if pieces else Field([], np.zeros((1, 0)), np.zeros((0, 0)), np.zeros(0, np.uint64))
+    return train(sorted((r.lang, bytes(r.piece)) for r in pieces), rounds) if pieces else Field([], np.zeros((1, 0)), np.zeros((0, 0)), np.zeros(0, np.uint64), np.zeros(BUCKETS, bool), 0.0)
 
 
 def predicted(field: Field, text: str = "text") -> Column:
-    """struct<lang_pred: string, score: double> for a text column: the language with
-    the largest sum of word probabilities, ties to the first by name, and its share of
-    that sum. Words without a letter have no say. A text that is null or has no letter,
-    and every text if the field knows no language, gets ``und`` and score 0."""
+    """struct<lang_pred: string, score: double, familiar: double> for a text column: the
+    language with the largest sum of word probabilities, ties to the first by name, its
+    share of that sum, and the share of the words' spelling features that the training
+    pieces hold, over what is usual among these, at most 1. A field labels every word
+    with some language; how familiar the spelling is tells text in none of them. Words
+    without a letter have no say. A text that is null or has no letter, and every text
+    if the field knows no language, gets ``und``, score 0 and familiar 0."""
     speaks = np.zeros(256, bool)
     speaks[65:91] = speaks[97:123] = speaks[128:] = True
 
-    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    @F.arrow_udf("struct<lang_pred: string, score: double, familiar: double>")
     def label(texts: pa.Array) -> pa.Array:
-        names, shares = [], []
+        names, shares, met = [], [], []
         for batch in W.slices(pa.RecordBatch.from_arrays([texts], ["text"])):
             data, bounds = W.buffer_of(batch.column(0))
             words = W.split_words(data, bounds, fold=True)
-            votes = np.zeros((batch.num_rows, max(1, len(field.languages))))
+            votes, known = np.zeros((batch.num_rows, max(1, len(field.languages)))), np.zeros(batch.num_rows)
             if len(words.hashes) and field.languages:
-                found, _ = marginals(scores(field, data, words), words.first, field.transitions)
+                scored, share = scores(field, data, words)
+                found, _ = marginals(scored, words.first, field.transitions)
                 letters = np.concatenate([[0], np.cumsum(speaks[data])])
-                found[letters[words.ends] == letters[words.starts]] = 0
+                silent = letters[words.ends] == letters[words.starts]
+                found[silent], share[silent] = 0, 0
                 sums = np.concatenate([np.zeros((1, found.shape[1])), np.cumsum(found, axis=0)])
                 votes = sums[words.first[1:]] - sums[words.first[:-1]]
+                sums = np.concatenate([[0], np.cumsum(share)])
+                known = sums[words.first[1:]] - sums[words.first[:-1]]
             total, best = votes.sum(axis=1), votes.argmax(axis=1)
-            share = np.where(total > 0, votes[np.arange(len(best)), best] / np.where(total > 0, total, 1), 0.0)
+            some = np.where(total > 0, total, 1)  # each word that speaks has one vote in all
             names += [field.languages[b] if t > 0 else None for b, t in zip(best, total)]
-            shares.append(np.clip(share, 0, 1))
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(shares) if shares else [], pa.float64())], ["lang_pred", "score"])
+            shares.append(np.clip(np.where(total > 0, votes[np.arange(len(best)), best] / some, 0.0), 0, 1))
+            met.append(np.clip(known / some / (field.usual or 1.0), 0, 1))
+        columns = [pa.array(names, pa.string()), *(pa.array(np.concatenate(x) if x else [], pa.float64()) for x in (shares, met))]
+        return pa.StructArray.from_arrays(columns, ["lang_pred", "score", "familiar"])
 
     decided = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     known = label(F.col(text))
     name = F.coalesce(F.when(decided, known["lang_pred"]), F.lit(UNDECIDED))
-    return F.struct(name.alias("lang_pred"), F.when(name == UNDECIDED, 0.0).otherwise(known["score"]).alias("score"))
+    shares = [F.when(name == UNDECIDED, 0.0).otherwise(known[x]).alias(x) for x in ("score", "familiar")]
+    return F.struct(name.alias("lang_pred"), *shares)
 
 
 def label_words(field: Field, text: str) -> list[tuple[str, str]]:
     """(word, language) for each word of one text."""
     data, bounds = W.buffer_of(pa.array([text]))
     words = W.split_words(data, bounds, fold=True)
-    found, _ = marginals(scores(field, data, words), words.first, field.transitions)
+    found, _ = marginals(scores(field, data, words)[0], words.first, field.transitions)
     return [(bytes(data[a:b]).decode(), field.languages[j]) for a, b, j in zip(words.starts, words.ends, found.argmax(axis=1))]

@@ -141,6 +141,28 @@ def test_stages_take_columns_of_any_name(spark, folder):
             assert docs.where(F.col(f"`{name}`") != F.concat(F.lit(name), "doc_id")).count() == 0
 
 
+def test_language_stage_rejects_junk_of_letters(spark, folder):
+    """Random letters go, whether labelled or not; clean texts of any length and short
+    ones with numbers between stay."""
+    path, _, _ = folder
+    rng = random.Random(8)
+    syllables = {"en": "the ing tion er an with st our".split(), "de": "der ung sch ein ver lich auf ge".split()}
+
+    def clean(lang, n):
+        return " ".join("".join(rng.choices(syllables[lang], k=rng.randint(1, 3))) for _ in range(n))
+
+    def junk(letters, n):
+        return " ".join("".join(rng.choices(letters, k=rng.randint(3, 9))) for _ in range(n))
+
+    rows = [(i, clean(lang, n), lang) for i, (lang, n) in enumerate([("en", 60), ("de", 60), ("en", 12), ("de", 3000)] * 20)]
+    rows += [(200, "the with 17 4 2029 99 100", None), (201, clean("en", 30) + " " + clean("de", 30), None)]
+    good = {i for i, _, _ in rows}
+    rows += [(300 + i, junk("bcdfghjklmnpqrstvwxz", 5 + 40 * i), None) for i in range(25)]
+    rows += [(400, junk("qxzjkvwy", 3000), None), (401, "\u0431\u0443\u043a\u0432\u044b " * 40, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in corpus_pipeline.language(spark, docs, path).collect()} == good
+
+
 def test_stages_take_an_empty_table(spark, folder):
     path, _, _ = folder
     empty = spark.createDataFrame([], DOCS)
