@@ -69,3 +69,13 @@ def test_transfer_fits_one_forest_for_all_regions(spark, monkeypatch):
     parts = catalog_learning._transferred(train, {"bc": train.where("survey_id < 40"), "maine": train.where("survey_id >= 40")})
     scores = {(r.region, r.model): r.n for p in parts for r in p.collect()}
     assert len(fits) == 1 and scores["bc", "Forest_Density"] == 40 and scores["maine", "Forest_SWE"] == 80
+
+
+def test_residuals_are_in_memory_during_a_fit(spark, monkeypatch):
+    seen, fit = [], learn.DecisionTreeRegressor.fit
+    monkeypatch.setattr(learn.DecisionTreeRegressor, "fit", lambda self, rows: seen.append((rows, rows.storageLevel.useMemory)) or fit(self, rows))
+    rows = spark.range(60).selectExpr("id as k", "cast(id % 7 as double) as a", "cast(id % 3 as double) as y")
+    data = learn.assemble(rows, ["a"], "y", ["k"])
+    learn.boost(data, {"num_boost_round": 3, "max_depth": 2}, 10)
+    assert [kept for _, kept in seen] == [True] * 3 and not any(rows.storageLevel.useMemory for rows, _ in seen)
+    data.release()
