@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from firnline.operators import learn, quality
+from firnline.operators import learn, quality, splits
 from firnline.plans import catalog_learning
 from firnline.plans.standin import LAGS, Tables
 
@@ -71,6 +71,20 @@ def test_transfer_fits_one_forest_for_all_regions(spark, monkeypatch):
     assert len(fits) == 1 and scores["bc", "Forest_Density"] == 40 and scores["maine", "Forest_SWE"] == 80
 
 
+def test_station_list_is_computed_once(tables, monkeypatch):
+    seen, split = [], splits.SpatialSplitter.split
+    monkeypatch.setattr(splits.SpatialSplitter, "split", lambda self, stations, rows: seen.append(stations) or split(self, stations, rows))
+    catalog_learning._training(tables, [3])
+    assert seen[0].inputFiles() and all("/stations-" in path for path in seen[0].inputFiles())
+
+
+def test_learners_keep_no_keys(spark):
+    rows = spark.range(40).selectExpr("concat('station ', id) as k", "cast(id % 7 as double) as a", "cast(id % 3 as double) as y")
+    kept = learn.assemble(rows, ["a"], "y", ["k"], None, None, True)
+    assert kept.rows.columns == ["a", "y", "is_validation"]
+    kept.release()
+
+
 def test_residuals_are_in_memory_during_a_fit(spark, monkeypatch):
     seen, fit = [], learn.DecisionTreeRegressor.fit
     monkeypatch.setattr(learn.DecisionTreeRegressor, "fit", lambda self, rows: seen.append((rows, rows.storageLevel.useMemory)) or fit(self, rows))
