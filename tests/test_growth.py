@@ -85,6 +85,16 @@ def test_learners_keep_no_keys(spark):
     kept.release()
 
 
+def test_importance_scores_every_copy_once(tables, monkeypatch):
+    calls, permuted = [], learn.permuted
+    monkeypatch.setattr(learn, "permuted", lambda *a: calls.append(a) or permuted(*a))
+    found = {(r.Snow_Class, r.feature): r for r in catalog_learning.m12(tables).collect()}
+    assert len(calls) == 1
+    classes = [r[0] for r in calls[0][0].select("Snow_Class").distinct().collect()]
+    assert {c for c, _ in found} == {"all", *classes} and classes
+    assert all(r.importance == r.permuted_rmse - r.base_rmse for r in found.values())
+
+
 def test_residuals_are_in_memory_during_a_fit(spark, monkeypatch):
     seen, fit = [], learn.DecisionTreeRegressor.fit
     monkeypatch.setattr(learn.DecisionTreeRegressor, "fit", lambda self, rows: seen.append((rows, rows.storageLevel.useMemory)) or fit(self, rows))
