@@ -1,11 +1,12 @@
-"""Trees over packed rows are MLlib's trees."""
+"""Trees over packed rows are MLlib's trees, and rows are laid out once for many fits."""
 
 import pytest
 from pyspark.ml import regression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from firnline.operators import learn, trees
+from firnline.operators import learn, sweeps, trees
+from firnline.sources import readers
 
 FEATURES = ["a", "b", "c", "d"]
 
@@ -71,3 +72,42 @@ def test_a_boosting_round_scores_its_own_tree_only(rows, monkeypatch):
     assert errors[-1] == pytest.approx(learn.score_assembled(data, fitted)["rmse"] ** 2)
     data.release()
     assert set(context.getPersistentRDDs()) <= before  # sums and blocks are given back
+
+
+def _stations(spark):
+    return spark.range(600).selectExpr(
+        "concat('s', id % 20) as Station_Name", "date_add(date'2001-01-01', cast(id / 20 as int)) as Date", "element_at(array('Alpine', 'Taiga', 'Tundra'), cast(id % 3 + 1 as int)) as Snow_Class",
+        "double(id % 20) as Elevation", "40.0D + id % 11 as Snow_Depth", "cast(id / 20 as int) as DOWY", "if(id % 9 = 0, null, 40.0D + id % 20) as Latitude", "-110.0D as Longitude",
+        "if(id < 60, null, double(id % 13)) as TAVG_lag_7d", "double(id % 17) as PRECIPITATION_lag_7d", "0.2D + (id % 11) * 0.01D + (id % 3) * 0.02D as Snow_Density",
+    )
+
+
+def test_a_sweep_lays_rows_out_once(spark, monkeypatch):
+    keys, days = ["Station_Name", "Date"], _stations(spark)
+    train, val = days.where("Elevation < 15"), days.where("Elevation >= 15")
+    calls, made, assemble, init = [], [], learn.assemble, trees.Points.__init__
+    monkeypatch.setattr(learn, "assemble", lambda *a: calls.append(a) or assemble(*a))
+    monkeypatch.setattr(trees.Points, "__init__", lambda self, *a: made.append(a) or init(self, *a))
+    nullable = ["TAVG_lag_7d", "PRECIPITATION_lag_7d", "Latitude"]
+    config = readers.load_search_space()
+    names = {"variants": ["main", "climate_7d"], "encoders": ["onehot", "catboost", "target"]}
+    found = sweeps.sweep(train, val, "Snow_Density", keys, config, models=["rf"], n_trials=2, nullable=nullable, fixed={"n_estimators": 3, "max_depth": 4}, **names)
+    assert len(calls) == len(made) == 1
+    assert [(r["variant"], r["encoder"]) for r in found] == [(v, e) for v in names["variants"] for e in names["encoders"]]
+    for result in found:  # as with a layout of its own
+        data = sweeps.prepare(train, [val], result["variant"], result["encoder"], "Snow_Density", keys, 10)
+        own = assemble(data.train, data.features, "Snow_Density", keys, data.others[0], [c for c in nullable if c in data.features], True)
+        params = {k: v for k, v in result["hyperparameters"].items()}
+        assert learn.score_assembled(own, learn.fit_assembled(own, "rf", params, 10))["rmse"] == pytest.approx(result["rmse"], rel=1e-12)
+        own.release()
+
+
+def test_windows_of_the_lag_sweep_share_their_points(spark, monkeypatch):
+    days = _stations(spark).withColumnsRenamed({"TAVG_lag_7d": "TAVG_lag_1d", "PRECIPITATION_lag_7d": "PRECIPITATION_lag_1d"})
+    days = days.selectExpr("*", "Elevation as TAVG_lag_2d", "double(DOWY % 5) as PRECIPITATION_lag_2d")
+    made, packed, init, pack = [], [], trees.Points.__init__, trees.Points.packed
+    monkeypatch.setattr(trees.Points, "__init__", lambda self, *a: made.append(a) or init(self, *a))
+    monkeypatch.setattr(trees.Points, "packed", lambda self, *a: packed.append(pack(self, *a)) or packed[-1])
+    found = sweeps.lag_sweep(days.where("Elevation < 15"), days.where("Elevation >= 15"), "Snow_Density", ["Station_Name", "Date"], [1, 2], "rf", {"n_estimators": 2, "max_depth": 3})
+    assert [r["lag"] for r in found] == [1, 2] and len(made) == 1
+    assert len(packed) == 2 and packed[0][0] == packed[1][0]  # one set of blocks for both fits
