@@ -111,3 +111,21 @@ def test_windows_of_the_lag_sweep_share_their_points(spark, monkeypatch):
     found = sweeps.lag_sweep(days.where("Elevation < 15"), days.where("Elevation >= 15"), "Snow_Density", ["Station_Name", "Date"], [1, 2], "rf", {"n_estimators": 2, "max_depth": 3})
     assert [r["lag"] for r in found] == [1, 2] and len(made) == 1
     assert len(packed) == 2 and packed[0][0] == packed[1][0]  # one set of blocks for both fits
+
+
+def test_missing_values_are_filled_and_flagged_as_by_the_pipeline(spark):
+    rows = spark.range(200).selectExpr("id as k", "double(id % 7) as a", "if(id % 5 = 0, null, if(id % 7 = 0, double('nan'), double(id))) as b", "cast(if(id % 3 = 0, null, id) as int) as c_filled", "double(id % 4) as y")
+    data = learn.assemble(rows, ["a", "b", "c_filled"], "y", ["k"], None, ["b", "c_filled"], True)
+    blocks = data.points().raw.collect()
+    cells = [x for block in blocks for x in block[0]]
+    assert cells == [x for r in data.vectors.collect() for x in r.features.toArray().tolist()]
+    data.release()
+
+
+def test_vectors_are_put_together_for_the_rows_scored(rows):
+    data = learn.assemble(rows, FEATURES, "y", ["k"], rows.where("k < 100"), None, True)
+    for part in (data, data.only(["a", "d"])):
+        plan = part.part(True)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        assert next(i for i, x in enumerate(plan) if "UDF" in x) < next(i for i, x in enumerate(plan) if "Filter" in x)
+        assert part.part(True).count() == 100
+    data.release()
